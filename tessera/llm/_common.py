@@ -64,3 +64,15 @@ def chunk_count(df: DataFrame, text_col: str, chunk_bytes: int = 16 << 20) -> in
     """Chunks of at most about chunk_bytes of text, at least four per shuffle partition."""
     size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     return max(4 * partitions(df.sparkSession), -(-size // chunk_bytes))
+
+
+def packed(docs: DataFrame, text_col: str, *more) -> DataFrame:
+    """row (a struct of all other columns), text, and the given extra columns; no name of docs can clash with them."""
+    rest = [c for c in docs.columns if c != text_col]
+    row = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(None).cast("struct<none:int>")
+    return docs.select(row.alias("row"), F.col(text_col).cast("string").alias("text"), *more)
+
+
+def unpacked(df: DataFrame, docs: DataFrame, text_col: str, *more) -> DataFrame:
+    """The columns of docs again, in their order, and the given extra ones."""
+    return df.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns], *more)

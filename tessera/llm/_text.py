@@ -68,9 +68,9 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, seed: int
     return h
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, length and text number of every word."""
-    solid = ~SPACE[buf]
+def words(buf: np.ndarray, offsets: np.ndarray, within: np.ndarray = ~SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and text number of every word, a run of bytes that `within` marks."""
+    solid = within[buf]
     n = len(buf)
     before = np.zeros(n, dtype=bool)
     before[1:] = solid[:-1]
