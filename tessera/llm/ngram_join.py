@@ -324,8 +324,9 @@ def op7_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one document of each component: that of the smallest id."""
-    kept = jaccard_classes(docs).filter(F.col("id") == F.col("component_id")).select(F.col("id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    own = F.coalesce("id", F.lit(NO_ID))
+    gone = jaccard_classes(docs).filter(own != F.col("component_id")).select(F.col("id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 QUERIES = {"op7_partenum": op7_partenum}
