@@ -29,6 +29,8 @@ from ._text import hash_spans, mix, slices, utf8
 
 NONE = np.iinfo(np.int32).max
 LONG_PIECE = 2048
+#: Bytes of text encoded at a time; the arrays take about 60 times as much memory.
+SLICE = 1 << 20
 OTHER, LETTER, NUMBER, WHITE = 0, 1, 2, 3
 
 
@@ -73,7 +75,7 @@ def load_vocabulary(path: str) -> Vocabulary:
     pairs = [(ranks[t[:i]], ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
     a, b, merged = (np.array(x, dtype=np.int64) for x in zip(*pairs, strict=True))
     keys = (a << 32 | b).astype(np.uint64)
-    size = 1 << (len(keys) * 6).bit_length()
+    size = 1 << (len(keys) * 3).bit_length()
     table, ids = np.full(size, np.uint64(2**64 - 1)), np.full(size, NONE, dtype=np.int32)
     left, probes = np.arange(len(keys)), 0
     while len(left):
@@ -245,7 +247,7 @@ def encode_pieces(v: Vocabulary, buf: np.ndarray, starts: np.ndarray, lens: np.n
             order.append(group)
             continue
         wide = int(lens[group].max())
-        step = max(1, (1 << 20) // wide)
+        step = max(1, (1 << 18) // wide)
         for part in (group[i : i + step] for i in range(0, len(group), step)):
             cols = np.arange(wide)
             real = cols < lens[part][:, None]
@@ -297,7 +299,7 @@ def bpe_encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id",
         v = shared.value
         classes = class_table(v)
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", SLICE):
                 ids, offsets = encode_texts(v, classes, *utf8(b.column(1)))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))], names=["id", "ids"])
 
