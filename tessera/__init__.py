@@ -1 +1,5 @@
 """A small relational analytics engine on PySpark."""
+
+from .session import Engine
+
+__all__ = ["Engine"]
