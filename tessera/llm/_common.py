@@ -55,9 +55,12 @@ def delete_path(spark: SparkSession, path: str) -> None:
 def release_shuffles(spark: SparkSession) -> None:
     """Let the driver notice that finished shuffles are unreachable, so their files go."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round frees what Python holds, the second what that held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
 
 
 def partitions(spark: SparkSession) -> int:

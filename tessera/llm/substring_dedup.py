@@ -130,8 +130,8 @@ def _tokens(keys: bytes, checks: bytes, n: int) -> np.ndarray:
 OUT = "kind int, place int, n long, first binary, second binary"
 
 
-def _merge(chunks: int, compact: bool):
-    """One bucket: merge-join the batch's entries with the runs; replies (kind 0) and the new run (kind 1)."""
+def _merge(chunks: int, compact: bool, keep: bool):
+    """One bucket: merge-join the batch's entries with the runs; replies (kind 0) and, to keep, the new run (kind 1)."""
 
     def run(entries: pa.Table, runs: pa.Table) -> pa.Table:
         history = [_tokens(r["first"], r["second"], r["n"]) for r in runs.to_pylist()]
@@ -164,7 +164,7 @@ def _merge(chunks: int, compact: bool):
         if bucket is None and runs.num_rows:
             bucket = runs.column("place")[0].as_py()
         out = [(0, c, len(a) // 8, a, b) for c, a, b in replies]
-        if len(fresh):
+        if len(fresh) and keep:
             out.append((1, bucket, len(fresh), pack(np.diff(fresh >> np.uint64(32), prepend=np.uint64(0))), (fresh & _LOW).astype("<u4").tobytes()))
         types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
         columns = zip(*out, strict=True) if out else [[]] * 5
@@ -182,29 +182,37 @@ class FingerprintIndex:
         self.run_paths: list[str] = []
         self.repeats: list[DataFrame] = []
 
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Take in (id long, text), all of larger ids than before; returns the repeats (chunk, first, second)."""
+    def add(self, batch: DataFrame, keep: bool = True) -> DataFrame:
+        """Take in (id long, text), all of larger ids than before; returns the repeats (chunk, first, second).
+
+        keep=False leaves the index as it was, for a batch that nothing will follow.
+        """
         entries = batch.mapInArrow(_emit(self.width, self.buckets), ENTRY)
         runs = self.spark.createDataFrame([], OUT)
         for r in self.runs:
             runs = runs.unionByName(r)
-        compact = len(self.runs) + 1 > self.most_runs
-        merged = entries.groupBy("bucket").cogroup(runs.groupBy("place")).applyInArrow(_merge(self.chunks, compact), OUT)
+        compact = keep and len(self.runs) + 1 > self.most_runs
+        merged = entries.groupBy("bucket").cogroup(runs.groupBy("place")).applyInArrow(_merge(self.chunks, compact, keep), OUT)
         # Written as two tables in one pass, so that replaced runs can be deleted.
         path = write_table(merged, "substring", partition_by="kind")
         tables = read_table(self.spark, path, OUT)
         if compact:
-            for old in self.run_paths:
-                delete_path(self.spark, old)
-            self.runs, self.run_paths = [], []
-        self.runs.append(tables.filter("kind = 1"))
-        self.run_paths.append(f"{path}/kind=1")
+            self.close()
+        if keep:
+            self.runs.append(tables.filter("kind = 1"))
+            self.run_paths.append(f"{path}/kind=1")
         found = tables.filter("kind = 0").select(F.col("place").alias("chunk"), "first", "second")
         self.repeats.append(found)
         del entries, merged, runs
         release_shuffles(self.spark)
         return found
 
+    def close(self) -> None:
+        """Delete the runs."""
+        for old in self.run_paths:
+            delete_path(self.spark, old)
+        self.runs, self.run_paths = [], []
+
 
 def _cut(width: int):
     def run(docs: pa.Table, repeats: pa.Table) -> pa.Table:
@@ -257,7 +265,8 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, batches: int = BATCHES
             part = part.filter(F.col("id") > low)
         if high is not None:
             part = part.filter(F.col("id") <= high)
-        index.add(part)
+        index.add(part, keep=high is not None)
+    index.close()
     repeats = index.repeats[0]
     for r in index.repeats[1:]:
         repeats = repeats.unionByName(r)
