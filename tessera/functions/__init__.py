@@ -1,0 +1 @@
+"""Statistics functions."""

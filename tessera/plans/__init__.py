@@ -1,0 +1 @@
+"""Syntax trees, parser, resolver and the cost model."""

@@ -1,0 +1 @@
+"""Catalog, committed versions on shared storage, and the transaction log."""

@@ -76,5 +76,7 @@ def test_cost_model():
     assert abs(table.cost - 12) < 1e-9 and abs(one.cost - (12 + 2 + 0.2)) < 1e-9
     assert cost.reduction_factor(parse_predicate("1 = 2"), {}) == cost.NEVER and cost.reduction_factor(parse_predicate("1 = 1"), {}) == 1
     assert cost.reduction_factor(parse_predicate("a = 1 and b = 1 and c = 1"), {"a": 2**40, "b": 2**40}) == cost.NEVER
+    found = cost.index(cost.table("t", 250, 1000, {"k": 50, "v": 9}), "k")
+    assert (found.blocks, found.records, found.distinct) == (2, 20, {"k": 1, "v": 9})
     small, big = cost.table("s", 1, 2, {}), cost.table("b", 100, 5000, {})
     assert cost.product(big, small).children[0] == small
