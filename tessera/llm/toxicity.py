@@ -2,7 +2,7 @@
 
 Tokens are runs of ASCII letters and digits and of non-ASCII bytes, A-Z lower-cased; a
 token's features are itself and its first 6, 5 and 4 bytes, which catches inflected forms.
-From a bounded sample of labelled documents, without repeated texts, each feature gets the
+From a bounded sample of labelled documents, of near copies one each, each feature gets the
 log-odds ratio of the documents that hold it, with an informative Dirichlet prior (its
 pseudo-counts follow the feature's overall frequency).  A token scores the ratio of its
 longest feature whose ratio is significant; any other token scores a small penalty, so
@@ -10,7 +10,8 @@ long clean text scores negative.  A linear scan (Ruzzo and Tompa) finds all maxi
 of every whole text.  Extreme-value theory gives the expected number of chance segments
 of at least a segment's score, K n exp(-lambda S); segments expected less than
 MAX_EXPECTED times are toxic passages.  The sum of -ln of those expectations is turned
-into a probability by a logistic curve fitted on the sample.
+into a probability.  Three quarters of the sample teach the ratios; the other quarter, for
+which they are not made to fit, teaches the extreme-value law and the logistic curve.
 
 Null and empty texts have no passages and get the score of such a text.  Repeated rows
 keep their rows.  Null labels teach nothing.  With no labelled document of one of the
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import documents, materialise, packed, unpacked
-from ._text import LOWER, hash_spans, slices, utf8, words
+from ._text import LOWER, hash_spans, mix, slices, utf8, windows, words
 
 #: The model is fitted on at most so many labelled documents, those of the smallest hashed ids.
 SAMPLE_DOCS = 20_000
@@ -127,11 +128,32 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(bad), pa.array(all_ - bad)], names=["token", "bad", "good"])
 
 
+def _minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Three min-hashes over the 5-word windows of every text; of a shorter text three hashes of it all."""
+    for batch in batches:
+        for b in slices(batch, "text"):
+            buf, offsets = utf8(b.column(2))
+            starts, lens, doc = words(buf, offsets)
+            first, h = windows(hash_spans(LOWER[buf], starts, lens), doc, 5)
+            out = np.stack([hash_spans(buf, offsets[:-1], np.diff(offsets), k) for k in range(3)])
+            if len(h):
+                full, begin = np.unique(doc[first], return_index=True)
+                for k in range(3):
+                    out[k, full] = np.minimum.reduceat(mix(h ^ np.uint64(k + 1)), begin)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(m.view(np.int64)) for m in out)], names=["id", "toxic", "m0", "m1", "m2"])
+
+
 def learn_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """text and toxic of at most `most` labelled documents that are not held out."""
-    marked = labels.filter(F.col("toxic").isNotNull() & ~_held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    """text, toxic and part (0 to 3) of at most `most` labelled documents that are not held out; of near copies one."""
+    marked = labels.filter(F.col("toxic").isNotNull() & ~_held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
     marked = marked.orderBy(F.xxhash64("id"), "id").limit(most)  # bounded, so it may be broadcast
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(marked), "id").select("text", "toxic").dropDuplicates()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    hashes = texts.join(F.broadcast(marked), "id").select("id", "toxic", "text").mapInArrow(_minima, "id long, toxic int, m0 long, m1 long, m2 long")
+    for m in ("m0", "m1", "m2"):
+        hashes = hashes.groupBy(m).agg(F.min_by(F.struct(*hashes.columns), "id").alias("one")).select("one.*")
+    chosen = materialise(hashes.select("id", "toxic").distinct(), "toxic-ids")
+    found = texts.join(F.broadcast(chosen), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
+    return found.select("text", "toxic", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4)).cast("int").alias("part"))
 
 
 def _held_out(doc_id):
@@ -166,7 +188,8 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     sample = materialise(learn_sample(docs, labels, most, id_col, text_col), "toxic-sample")  # read three times
-    counts = sample.mapInArrow(_count_tokens, "token long, bad long, good long").groupBy("token").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    taught, fresh = sample.filter("part < 3"), sample.filter("part = 3")
+    counts = taught.mapInArrow(_count_tokens, "token long, bad long, good long").groupBy("token").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     totals = counts.agg(F.sum("bad"), F.sum("good")).first()
     if not totals[0] or not totals[1]:
         share = sample.agg(F.avg("toxic")).first()[0]
@@ -193,9 +216,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS, id
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(size, 1).astype(np.int64)), pa.array(best, pa.float64()), pa.array([_evidence(x) for x in found], pa.float64()), b.column(1)], names=["n", "best", "evidence", "toxic"])
 
     shape = "n long, best double, evidence double, toxic int"
-    clean = sample.filter("toxic = 0").mapInArrow(measure, shape).agg(F.count(F.lit(1)), F.sum(F.expr(f"n * exp(-{m.decay!r} * best)"))).first()
+    clean = fresh.filter("toxic = 0").mapInArrow(measure, shape).agg(F.count(F.lit(1)), F.sum(F.expr(f"n * exp(-{m.decay!r} * best)"))).first()
     m.rate = float(clean[0] / max(clean[1], 1e-9))  # maximum likelihood of the extreme-value law's K
-    seen = sample.mapInArrow(measure, shape).select("evidence", "toxic").toPandas()  # at most `most` rows of two numbers
+    seen = fresh.mapInArrow(measure, shape).select("evidence", "toxic").toPandas()  # at most `most` rows of two numbers
     m.slope, m.intercept = _fit_logistic(np.sqrt(seen["evidence"].to_numpy(dtype=float)), seen["toxic"].to_numpy(dtype=float))
     return m
 
