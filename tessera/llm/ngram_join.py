@@ -17,11 +17,21 @@ parts, or with under 3/4 of its elements found elsewhere, has no partner and sen
 Empty parts come last in the order; a set that would have to name one sends its rarest
 elements instead (enough that a partner shares one), and so does any partner that needs it.
 
-Links are found without pairing a group with itself.  Each signature group is first
-compared with its smallest member only; verified links give components; groups whose
-members then lie in several components are compared with further pivots, four times as
-many each round and the scarce components first, until every group is in one component or
-all its members were pivots.  Every candidate is verified on the whole sets.
+Links are found in two passes, neither of which pairs a group with itself.
+
+The first sends only SKETCH of the signatures of each set and compares each node with one
+other: of those that share one of them, the one with most elements in common with anyone.
+Its verified links already join most near copies into components.
+
+The second is exact.  "Holders" are now components instead of sets: a part with an element
+of its own component alone cannot be shared with another one, so only what may still join
+two components is sent.  The intersection of two sets lies within what either of them has
+in common with other components, and a link needs (a + b) * 3 / 7 common elements, so a
+pair is a candidate only if both have as many.  Groups whose members lie in several
+components are first compared with the one member that has most in common; if that leaves
+them apart, with all members of other components.
+
+Every candidate is verified on the whole sets.
 
 Equal sets within a chunk of documents are one node.  Null, empty and wordless texts have
 an empty set and link with nothing.  Rows with the same id are one document for linking;
@@ -30,7 +40,6 @@ a null id is smaller than any other.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,13 +47,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, partitions, read_table, release_shuffles, write_table
+from ._common import delete_path, documents, partitions, read_table, release_shuffles, write_table
 from ._text import LOWER, hash_spans, mix, utf8, windows, words
 from .substring_dedup import NO_ID, pack, unpack
 
 SHINGLE = 5
 #: Similarity as a fraction: linked when DEN * intersection >= NUM * union.
 NUM, DEN = 3, 4
+#: Signatures of a set and band in the first pass.
+SKETCH = 6
 BUCKET_BYTES = 16 << 20
 _KEY = np.uint64((1 << 40) - 1)
 
@@ -150,13 +161,17 @@ def bands(most: int) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
-def signatures(element: np.ndarray, offsets: np.ndarray, holders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(set number, signature) pairs to send; holders: how many sets hold each element."""
+def signatures(element: np.ndarray, offsets: np.ndarray, holders: np.ndarray, sketch: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(set number, signature) pairs to send; holders: how many sets, or components, hold each element.
+
+    With `sketch` at most so many for each set and band, those of the smallest hash.
+    """
     size = np.diff(offsets)
     n = len(size)
     of = np.repeat(np.arange(n), size)
-    alive = DEN * np.bincount(of[holders > 1], minlength=n) >= NUM * size
-    keep = alive[of]
+    common = np.bincount(of[holders > 1], minlength=n)
+    possible = DEN * common >= NUM * size
+    keep = possible[of]
     element, holders, of = element[keep], holders[keep], of[keep]
     ends = bands(int(size.max()) if n else 1)
     band = np.searchsorted(ends, size)
@@ -164,17 +179,22 @@ def signatures(element: np.ndarray, offsets: np.ndarray, holders: np.ndarray) ->
     short = np.zeros(n, dtype=bool)
     for step in (0, 1):
         r = ends[band + step]
+        # The smallest partner in this band, and what a link with it takes.
+        smallest = np.maximum(-(-NUM * size // DEN), ends[np.maximum(band - 2, 0)] + 1) if step == 0 else ends[band] + 1
+        alive = possible & ((NUM + DEN) * common >= NUM * (size + smallest))
         k = 2 * r // 7
         m = k + 1 + k // 2
         base = np.cumsum(np.where(alive, m, 0)) - np.where(alive, m, 0)
         salt = mix(r.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(17))
-        part = (mix(element ^ salt[of]) % m[of].astype(np.uint64)).astype(np.int64)
-        cell = base[of] + part
+        here = alive[of]
+        own_element, own_holders, own_of = element[here], holders[here], of[here]
+        part = (mix(own_element ^ salt[own_of]) % m[own_of].astype(np.uint64)).astype(np.int64)
+        cell = base[own_of] + part
         cells = int(np.where(alive, m, 0).sum())
         rarest = np.full(cells, np.iinfo(np.int64).max)
-        np.minimum.at(rarest, cell, holders)
+        np.minimum.at(rarest, cell, own_holders)
         total = np.zeros(cells, dtype=np.uint64)
-        np.add.at(total, cell, mix(element + np.uint64(0x5BF03635)))
+        np.add.at(total, cell, mix(own_element + np.uint64(0x5BF03635)))
         owner = np.repeat(np.arange(n), np.where(alive, m, 0))
         number = np.arange(cells) - base[owner]
         filled = rarest < np.iinfo(np.int64).max
@@ -186,7 +206,13 @@ def signatures(element: np.ndarray, offsets: np.ndarray, holders: np.ndarray) ->
         who = owner[c][order]
         rank = np.arange(len(who)) - np.searchsorted(who, who)
         pick = rank < (k + 1 - own)[who]
-        found.append((who[pick], sig[order][pick]))
+        who, sig = who[pick], sig[order][pick]
+        if sketch is not None:
+            order = np.lexsort((sig, who))
+            who, sig = who[order], sig[order]
+            pick = np.arange(len(who)) - np.searchsorted(who, who) < sketch
+            who, sig = who[pick], sig[pick]
+        found.append((who, sig))
     if short.any():
         e = np.flatnonzero(short[of])
         order = e[np.lexsort((element[e], holders[e], of[e]))]
@@ -201,15 +227,11 @@ def signatures(element: np.ndarray, offsets: np.ndarray, holders: np.ndarray) ->
 PARTS = "kind int, a long, b long, n int, blob binary"
 
 
-def _sign_chunk(t: pa.Table, shared: pa.Table) -> pa.Table:
-    """kind 0: document, node, size; kind 1: signature, node; kind 2: node and its set."""
-    if not t.num_rows:
-        return _table([], PARTS)
-    ids, size, node, element, offsets, heads = _chunk_nodes(t)
-    buckets = int(t.column("buckets")[0].as_py())
+def _holders(element: np.ndarray, shared: pa.Table, buckets: int) -> np.ndarray:
+    """How many hold each element; 1 where the table has nothing."""
     holders = np.ones(len(element), dtype=np.int64)
     rows = shared.to_pylist()
-    if rows:
+    if rows and len(element):
         token = np.concatenate([np.cumsum(unpack(r["keys"], r["n"]), dtype=np.uint64) for r in rows])
         count = np.concatenate([unpack(r["counts"], r["n"]) for r in rows]).astype(np.int64)
         order = np.argsort(token)
@@ -218,15 +240,100 @@ def _sign_chunk(t: pa.Table, shared: pa.Table) -> pa.Table:
         at = np.minimum(np.searchsorted(token, own), len(token) - 1)
         hit = token[at] == own
         holders[hit] = count[at[hit]]
-    who, sig = signatures(element, offsets, holders) if len(heads) else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-    sets = np.unique(who)
-    n0, n1, n2 = len(ids), len(sig), len(sets)
-    blobs = [element[offsets[i] : offsets[i + 1]].tobytes() for i in sets]
-    columns = [
-        np.repeat([0, 1, 2], [n0, n1, n2]).astype(np.int32), np.concatenate([ids, sig.view(np.int64), heads[sets]]), np.concatenate([node, heads[who], heads[sets]]),
-        np.concatenate([size, np.zeros(n1, np.int64), (offsets[1:] - offsets[:-1])[sets]]).astype(np.int32),
-    ]
-    return pa.table([*map(pa.array, columns), pa.array([None] * (n0 + n1) + blobs, pa.binary())], names=["kind", "a", "b", "n", "blob"])
+    return holders
+
+
+def _common(offsets: np.ndarray, holders: np.ndarray) -> np.ndarray:
+    """How many elements of each set others hold too."""
+    n = len(offsets) - 1
+    return np.bincount(np.repeat(np.arange(n), np.diff(offsets))[holders > 1], minlength=n)
+
+
+def _slack(offsets: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """How much more a set has in common than a link with one of its own size takes, times 7."""
+    return (NUM + DEN) * common - 2 * NUM * np.diff(offsets)
+
+
+def _sign_chunk(buckets: int):
+    """kind 0: document, node, size; kind 1: signature, node, slack; kind 2: node and its set, if it may have a partner."""
+
+    def run(t: pa.Table, shared: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return _table([], PARTS)
+        ids, size, node, element, offsets, heads = _chunk_nodes(t)
+        holders = _holders(element, shared, buckets)
+        who, sig = signatures(element, offsets, holders, SKETCH) if len(heads) else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        slack = _slack(offsets, _common(offsets, holders))
+        sets = np.unique(who)
+        n0, n1, n2 = len(ids), len(sig), len(sets)
+        blobs = [element[offsets[i] : offsets[i + 1]].tobytes() for i in sets]
+        columns = [
+            np.repeat([0, 1, 2], [n0, n1, n2]).astype(np.int32), np.concatenate([ids, sig.view(np.int64), heads[sets]]), np.concatenate([node, heads[who], heads[sets]]),
+            np.concatenate([size, slack[who], np.diff(offsets)[sets]]).astype(np.int32),
+        ]
+        return pa.table([*map(pa.array, columns), pa.array([None] * (n0 + n1) + blobs, pa.binary())], names=["kind", "a", "b", "n", "blob"])
+
+    return run
+
+
+def _sets(t: pa.Table) -> tuple[np.ndarray, ...]:
+    """Nodes, components, and the elements and offsets of the sets of a chunk."""
+    blobs = t.column("blob").to_pylist()
+    offsets = np.concatenate([[0], np.cumsum([len(b) // 8 for b in blobs])]).astype(np.int64)
+    return t.column("node").to_numpy().astype(np.int64), t.column("component").to_numpy().astype(np.int64), np.frombuffer(b"".join(blobs), np.uint64), offsets
+
+
+HELD = "bucket int, chunk int, n long, base long, keys binary, counts binary"
+
+
+def _held_by(buckets: int):
+    """The distinct (element, component) pairs of a chunk, by bucket."""
+
+    def run(t: pa.Table) -> pa.Table:
+        _, component, element, offsets = _sets(t)
+        rows = np.empty(len(element), dtype=[("b", "u8"), ("k", "u8"), ("c", "i8")])
+        rows["b"], rows["k"], rows["c"] = (element >> np.uint64(40)) % np.uint64(buckets), element & _KEY, np.repeat(component, np.diff(offsets))
+        rows = np.unique(rows)
+        base, chunk = int(rows["c"].min()), t.column("chunk")[0].as_py()
+        parts = np.split(rows, np.flatnonzero(np.diff(rows["b"])) + 1)
+        return _table([(int(p["b"][0]), chunk, len(p), base, pack(np.diff(p["k"], prepend=np.uint64(0))), pack((p["c"] - base).view(np.uint64))) for p in parts], HELD)
+
+    return run
+
+
+def _sum_components(t: pa.Table) -> pa.Table:
+    """For every chunk the elements of this bucket that several components hold, and how many do."""
+    rows = t.to_pylist()
+    keys = [np.cumsum(unpack(r["keys"], r["n"]), dtype=np.uint64) for r in rows]
+    pairs = np.empty(sum(map(len, keys)), dtype=[("k", "u8"), ("c", "i8")])
+    pairs["k"] = np.concatenate(keys)
+    pairs["c"] = np.concatenate([(unpack(r["counts"], r["n"]) + np.uint64(r["base"] % 2**64)).view(np.int64) for r in rows])
+    distinct, total = np.unique(np.unique(pairs)["k"], return_counts=True)
+    out = []
+    for r, k in zip(rows, keys, strict=True):
+        k = np.unique(k)
+        n = total[np.searchsorted(distinct, k)]
+        k, n = k[n > 1], n[n > 1]
+        if len(k):
+            out.append((r["chunk"], len(k), pack(np.diff(k | np.uint64(r["bucket"] << 40), prepend=np.uint64(0))), pack(n.astype(np.uint64))))
+    return _table(out, SHARED)
+
+
+OPEN = "sig long, node long, component long, size long, common long"
+
+
+def _sign_components(buckets: int):
+    """Signatures that may join components; common: how many elements other components hold too."""
+
+    def run(t: pa.Table, shared: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return _table([], OPEN)
+        node, component, element, offsets = _sets(t)
+        holders = _holders(element, shared, buckets)
+        who, sig = signatures(element, offsets, holders)
+        return pa.table([pa.array(sig.view(np.int64)), *(pa.array(x[who]) for x in (node, component, np.diff(offsets), _common(offsets, holders)))], names=["sig", "node", "component", "size", "common"])
+
+    return run
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,15 +349,22 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Tables:
-    """Written tables of one run; each replaces the last of its name, which is deleted."""
+    """Written tables of one run; under one name a new table replaces the last, whose files go."""
 
     def __init__(self, spark: SparkSession):
-        self.spark = spark
+        self.spark, self.paths = spark, {}
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        out = read_table(self.spark, write_table(df, f"ngram-{name}"), df.schema)
+    def put(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+        path = write_table(df, f"ngram-{name}", partition_by)
+        if name in self.paths:
+            delete_path(self.spark, self.paths[name])
+        self.paths[name] = path
         release_shuffles(self.spark)
-        return out
+        return read_table(self.spark, path, df.schema)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            delete_path(self.spark, self.paths.pop(name))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -279,39 +393,52 @@ def components(links: DataFrame, put) -> DataFrame:
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id (the smallest id reachable by links) of every row of docs."""
     spark = docs.sparkSession
-    put = _Tables(spark).put
+    tables = _Tables(spark)
+    put = tables.put
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(partitions(spark), -(-size // BUCKET_BYTES))
+    chunk = lambda c: F.pmod(F.xxhash64(c), F.lit(4 * buckets)).cast("int").alias("chunk")
     id_ = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    rows = docs.select(F.pmod(F.xxhash64(id_), F.lit(4 * buckets)).cast("int").alias("chunk"), F.lit(buckets).alias("buckets"), id_.alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(chunk(id_), id_.alias("id"), F.col(text_col).cast("string").alias("text"))
     counted = rows.groupBy("chunk").applyInArrow(_count_chunk(buckets), COUNTS)
     shared = put(counted.groupBy("bucket").applyInArrow(_sum_bucket, SHARED), "shared")
-    signed = rows.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_sign_chunk, PARTS)
-    path = write_table(signed, "ngram-parts", partition_by="kind")
-    release_shuffles(spark)
-    parts = read_table(spark, path, PARTS)
-    nodes, named, sets = parts.filter("kind = 0"), parts.filter("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node")), parts.filter("kind = 2").select("b", "n", "blob")
-    groups = put(named.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).filter("pivot < top").select("sig", "pivot"), "groups")
-    member = put(named.join(groups, "sig"), "members")
-    pairs = put(member.filter("node > pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
-    links = put(_verify(pairs, sets), "links")
+    signed = rows.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_sign_chunk(buckets), PARTS)
+    parts = put(signed, "parts", partition_by="kind")
+    tables.drop("shared")
+    nodes, named, sets = parts.filter("kind = 0"), parts.filter("kind = 1").select(F.col("a").alias("sig"), F.struct(F.col("n").alias("slack"), F.col("b").alias("node")).alias("own")), parts.filter("kind = 2").select("b", "n", "blob")
+
+    # First pass: one comparison for each node.
+    best = named.groupBy("sig").agg(F.max("own").alias("best"))
+    pairs = named.join(best, "sig").groupBy("own.node").agg(F.max("best").alias("best")).select(F.least("node", "best.node").alias("u"), F.greatest("node", "best.node").alias("v"))
+    pairs = put(pairs.filter("u < v").distinct(), "pairs")
+    links = put(_verify(pairs, sets), "links-first")
     found = components(links, put)
-    member, pivots = member.filter("node > pivot").select("sig", "node"), 4
-    while True:
-        placed = put(member.join(found, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component")), "placed")
-        share = put(placed.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("n")), "share")
-        split = put(share.groupBy("sig").agg(F.count(F.lit(1)).alias("q")).filter("q > 1"), "split")
-        if split.isEmpty():
-            break
-        chance = F.lit(float(pivots)) / (F.col("q") * F.col("n"))
-        open_ = put(placed.join(split, "sig").join(share, ["sig", "component"]).withColumn("is_pivot", F.pmod(F.xxhash64("sig", "node", F.lit(pivots)), F.lit(1 << 30)) / float(1 << 30) < chance).select("sig", "node", "component", "is_pivot"), "open")
-        first = open_.filter("is_pivot").select("sig", F.col("node").alias("p"), F.col("component").alias("pc"))
-        pairs = put(open_.join(first, "sig").filter("component <> pc").select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")).distinct(), "pairs")
-        more = put(_verify(pairs, sets), "links")
+
+    # Second pass: what may join components.
+    placed = sets.withColumnRenamed("b", "node").join(found, "node", "left").select(chunk("node"), "node", F.coalesce("component", "node").alias("component"), "blob")
+    placed = put(placed, "placed")
+    held = placed.groupBy("chunk").applyInArrow(_held_by(buckets), HELD)
+    shared = put(held.groupBy("bucket").applyInArrow(_sum_components, SHARED), "shared")
+    signed = put(placed.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_sign_components(buckets), OPEN), "open")
+    tables.drop("placed", "shared")
+    member = signed.drop("component")
+    for whole in (False, True):
+        now = put(member.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), f"members-{whole}")
+        lead = F.struct((F.lit(NUM + DEN) * F.col("common") - F.lit(2 * NUM) * F.col("size")).alias("slack"), "node", "component", "size", "common")
+        group = now.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("size").alias("least"), F.max(lead).alias("lead")).filter("low < high").drop("low", "high")
+        group = put(group, f"groups-{whole}")
+        open_ = now.join(group.select("sig", "least"), "sig").filter((NUM + DEN) * F.col("common") >= NUM * (F.col("size") + F.col("least"))).drop("least")
+        member = put(open_, f"split-{whole}")
+        other = (member if whole else group.select("sig", "lead.*")).select("sig", F.col("node").alias("p"), F.col("component").alias("pc"), F.col("size").alias("ps"), F.col("common").alias("pn"))
+        near = (F.col("component") != F.col("pc")) & ((NUM + DEN) * F.least("common", "pn") >= NUM * (F.col("size") + F.col("ps")))
+        if whole:
+            near = near & (F.col("p") < F.col("node"))
+        pairs = put(member.join(other, "sig").filter(near).select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")).distinct(), "pairs")
+        more = put(_verify(pairs, sets), f"links-{whole}")
         if not more.isEmpty():
             links = links.unionByName(more)
             found = components(links, put)
-        member, pivots = open_.filter("not is_pivot").select("sig", "node"), pivots * 4
+        member = member.drop("component")
     return nodes.select(F.col("a").alias("id"), F.col("b").alias("node"), "n").join(found, "node", "left").select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias("id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "node").alias("component_id")
     )
