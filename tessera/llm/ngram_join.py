@@ -29,7 +29,9 @@ two components is sent.  The intersection of two sets lies within what either of
 in common with other components, and a link needs (a + b) * 3 / 7 common elements, so a
 pair is a candidate only if both have as many.  Groups whose members lie in several
 components are first compared with the one member that has most in common; if that leaves
-them apart, with all members of other components.
+them apart, with all members of other components that a third bound leaves: a bitmap of
+the parities of a set's element counts in SKETCH_BITS cells, of which two sets differ in at
+most as many bits as the sets in elements.
 
 Every candidate is verified on the whole sets.
 
@@ -41,6 +43,7 @@ a null id is smaller than any other.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +59,8 @@ SHINGLE = 5
 NUM, DEN = 3, 4
 #: Signatures of a set and band in the first pass.
 SKETCH = 6
+#: Cells of the parity bitmap of a set.
+SKETCH_BITS = 1024
 BUCKET_BYTES = 16 << 20
 _KEY = np.uint64((1 << 40) - 1)
 
@@ -319,11 +324,20 @@ def _sum_components(t: pa.Table) -> pa.Table:
     return _table(out, SHARED)
 
 
-OPEN = "sig long, node long, component long, size long, common long"
+SKETCH_WORDS = [f"s{i}" for i in range(SKETCH_BITS // 64)]
+OPEN = "kind int, sig long, node long, component long, size long, common long, " + ", ".join(f"{w} long" for w in SKETCH_WORDS)
+
+
+def parities(element: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """One row of 64-bit words for each set."""
+    n = len(offsets) - 1
+    cell = (mix(element ^ np.uint64(0x2C1B3C6D)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    counts = np.bincount(np.repeat(np.arange(n), np.diff(offsets)) * SKETCH_BITS + cell, minlength=n * SKETCH_BITS)
+    return np.packbits((counts & 1).astype(np.uint8).reshape(n, SKETCH_BITS), axis=1).view(np.int64)
 
 
 def _sign_components(buckets: int):
-    """Signatures that may join components; common: how many elements other components hold too."""
+    """kind 1: signatures that may join components, and how many elements other components hold too; kind 2: nodes and their parities."""
 
     def run(t: pa.Table, shared: pa.Table) -> pa.Table:
         if not t.num_rows:
@@ -331,7 +345,13 @@ def _sign_components(buckets: int):
         node, component, element, offsets = _sets(t)
         holders = _holders(element, shared, buckets)
         who, sig = signatures(element, offsets, holders)
-        return pa.table([pa.array(sig.view(np.int64)), *(pa.array(x[who]) for x in (node, component, np.diff(offsets), _common(offsets, holders)))], names=["sig", "node", "component", "size", "common"])
+        sets = np.unique(who)
+        both = np.concatenate([who, sets])
+        kind = np.repeat([1, 2], [len(who), len(sets)]).astype(np.int32)
+        bits = parities(element, offsets)[sets]
+        columns = [kind, np.concatenate([sig.view(np.int64), node[sets]]), node[both], component[both], np.diff(offsets)[both], _common(offsets, holders)[both]]
+        words_ = [pa.concat_arrays([pa.nulls(len(who), pa.int64()), pa.array(bits[:, w])]) for w in range(bits.shape[1])]
+        return pa.table([*map(pa.array, columns), *words_], names=["kind", "sig", "node", "component", "size", "common", *SKETCH_WORDS])
 
     return run
 
@@ -355,13 +375,24 @@ class _Tables:
         self.spark, self.paths = spark, {}
 
     def put(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+        out = self.put_small(df, name, partition_by)
+        release_shuffles(self.spark)
+        return out
+
+    def put_small(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+        """For tables of a few numbers a node, whose shuffles need no haste."""
         path = write_table(df, f"ngram-{name}", partition_by)
         if name in self.paths:
             delete_path(self.spark, self.paths[name])
         self.paths[name] = path
-        release_shuffles(self.spark)
         return read_table(self.spark, path, df.schema)
 
+    def finish(self, *needed: str) -> None:
+        """Delete what the result does not read; of the parts it reads the documents."""
+        for kind in (1, 2):
+            delete_path(self.spark, f"{self.paths['parts']}/kind={kind}")
+        self.drop(*(n for n in list(self.paths) if n not in (*needed, "parts")))
+
     def drop(self, *names: str) -> None:
         for name in names:
             delete_path(self.spark, self.paths.pop(name))
@@ -412,16 +443,16 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = named.join(best, "sig").groupBy("own.node").agg(F.max("best").alias("best")).select(F.least("node", "best.node").alias("u"), F.greatest("node", "best.node").alias("v"))
     pairs = put(pairs.filter("u < v").distinct(), "pairs")
     links = put(_verify(pairs, sets), "links-first")
-    found = components(links, put)
+    found = components(links, tables.put_small)
 
     # Second pass: what may join components.
     placed = sets.withColumnRenamed("b", "node").join(found, "node", "left").select(chunk("node"), "node", F.coalesce("component", "node").alias("component"), "blob")
     placed = put(placed, "placed")
     held = placed.groupBy("chunk").applyInArrow(_held_by(buckets), HELD)
     shared = put(held.groupBy("bucket").applyInArrow(_sum_components, SHARED), "shared")
-    signed = put(placed.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_sign_components(buckets), OPEN), "open")
+    signed = put(placed.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_sign_components(buckets), OPEN), "open", partition_by="kind")
     tables.drop("placed", "shared")
-    member = signed.drop("component")
+    member, sketches = signed.filter("kind = 1").select("sig", "node", "size", "common"), signed.filter("kind = 2").select("node", *SKETCH_WORDS)
     for whole in (False, True):
         now = put(member.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), f"members-{whole}")
         lead = F.struct((F.lit(NUM + DEN) * F.col("common") - F.lit(2 * NUM) * F.col("size")).alias("slack"), "node", "component", "size", "common")
@@ -429,16 +460,21 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         group = put(group, f"groups-{whole}")
         open_ = now.join(group.select("sig", "least"), "sig").filter((NUM + DEN) * F.col("common") >= NUM * (F.col("size") + F.col("least"))).drop("least")
         member = put(open_, f"split-{whole}")
-        other = (member if whole else group.select("sig", "lead.*")).select("sig", F.col("node").alias("p"), F.col("component").alias("pc"), F.col("size").alias("ps"), F.col("common").alias("pn"))
+        if whole:
+            member = put(member.join(sketches, "node"), "sketched")
+        words_ = SKETCH_WORDS if whole else []
+        other = (member if whole else group.select("sig", "lead.*")).select("sig", F.col("node").alias("p"), F.col("component").alias("pc"), F.col("size").alias("ps"), F.col("common").alias("pn"), *(F.col(w).alias(f"p{w}") for w in words_))
         near = (F.col("component") != F.col("pc")) & ((NUM + DEN) * F.least("common", "pn") >= NUM * (F.col("size") + F.col("ps")))
         if whole:
-            near = near & (F.col("p") < F.col("node"))
+            differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"p{w}"))) for w in words_])
+            near = near & (F.col("p") < F.col("node")) & ((NUM + DEN) * differ <= (DEN - NUM) * (F.col("size") + F.col("ps")))
         pairs = put(member.join(other, "sig").filter(near).select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")).distinct(), "pairs")
         more = put(_verify(pairs, sets), f"links-{whole}")
         if not more.isEmpty():
             links = links.unionByName(more)
-            found = components(links, put)
+            found = components(links, tables.put_small)
         member = member.drop("component")
+    tables.finish("edges")
     return nodes.select(F.col("a").alias("id"), F.col("b").alias("node"), "n").join(found, "node", "left").select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias("id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "node").alias("component_id")
     )
