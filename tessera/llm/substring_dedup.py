@@ -36,6 +36,8 @@ from ._text import hash_spans, mix, slices, utf8, windows, words
 WIDTH, BATCHES, MOST_RUNS = 13, 4, 2
 NO_ID = -(2**63)
 BUCKET_BYTES = 16 << 20
+#: Bytes of text fingerprinted at a time; the arrays take about 40 times as much memory.
+SLICE = 3 << 20
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -97,7 +99,7 @@ def _emit(width: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", SLICE):
                 ids = b.column(0).to_numpy().astype(np.int64)
                 _, doc, high, token, *_ = _marks(*utf8(b.column(1)), width)
                 if not len(token):
@@ -221,7 +223,7 @@ def _cut(width: int):
         schema = pa.schema([("row", docs.schema.field("row").type), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64())])
         made: list[pa.RecordBatch] = []
         for batch in docs.combine_chunks().to_batches():
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", SLICE):
                 column = b.column(b.schema.get_field_index("text"))
                 ids = b.column(b.schema.get_field_index("id")).to_numpy().astype(np.int64)
                 buf, offsets = utf8(column)
