@@ -492,5 +492,18 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
+_ORACLE = """
+WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+placed AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS k FROM split WHERE len(ws) > 0),
+elements AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, k, k + 4), ' ') AS s FROM placed),
+sizes AS (SELECT doc_id, count(*) AS n FROM elements GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM elements a JOIN elements b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * i >= 75 * (p.n + q.n - i)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, e.y FROM reach r JOIN both_ways e ON r.y = e.x)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) r ON r.x = d.doc_id
+"""
+
 QUERIES = {"op7_partenum": op7_partenum}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op7_partenum": _ORACLE}
