@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import chunk_count, documents, materialise, packed, partitions, unpacked
+from ._common import chunk_count, delete_path, documents, materialise, packed, partitions, read_table, release_shuffles, unpacked, write_table
 from ._text import LOWER, SPACE, hash_spans, mix, slices, utf8
 
 LEAST_CHARS, LEAST_DOCS = 40, 5
@@ -234,12 +234,17 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
     chunks = chunk_count(docs, text_col)
     chunk = F.pmod(F.xxhash64(F.col(id_col)), F.lit(chunks)).cast("int").alias("chunk")
     emitted = docs.select(chunk, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_emit(least_chars), "chunk int, id long, h1 long, h2 long")
-    lines = materialise(emitted.groupBy("chunk", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")), "lines")
+    written = write_table(emitted.groupBy("chunk", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")), "lines")
+    lines = read_table(spark, written, "chunk int, h1 long, h2 long, n long, last long")
     shards = max(4 * partitions(spark), -(-lines.count() // shard_rows))
     lines = lines.withColumn("shard", F.pmod(F.col("h1"), F.lit(shards)).cast("int"))
-    index = materialise(build_index(lines), "line-index")
+    index_written = write_table(build_index(lines), "line-index")
+    index = read_table(spark, index_written, INDEX)
     drops = lines.select("shard", "chunk", "h1", "h2").groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(_probe_shard(least_docs), "chunk int, h1 binary, h2 binary, last binary")
     drops = materialise(drops, "line-drops")
+    for path in (written, index_written):
+        delete_path(spark, path)
+    release_shuffles(spark)
     rows = packed(docs, text_col, chunk, F.col(id_col).cast("long").alias("id"))
     out = [("row", None), ("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())]
     return rows.groupBy("chunk").cogroup(drops.groupBy("chunk")).applyInArrow(_cut(least_chars, out), f"row {rows.schema['row'].dataType.simpleString()}, text string, n_lines long, n_dropped long")
