@@ -257,7 +257,7 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, batches: int = BATCHES
     shares = [k / batches for k in range(1, batches)]
     size, cuts = docs.agg(F.sum(F.octet_length(text_col)), F.percentile_approx(id_, F.array(*map(F.lit, shares)), F.lit(10_000))).first() if shares else (docs.agg(F.sum(F.octet_length(text_col))).first()[0], [])
     buckets = max(partitions(spark), -(-(size or 0) // BUCKET_BYTES))
-    chunks = 4 * buckets
+    chunks = buckets  # a bucket answers each chunk with one row
     index = FingerprintIndex(spark, buckets, chunks, width)
     plain = docs.select(id_.alias("id"), F.col(text_col).cast("string").alias("text"))
     edges = [None, *sorted(set(cuts or [])), None]
