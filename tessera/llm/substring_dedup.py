@@ -282,5 +282,17 @@ def op3_window_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+_ORACLE = """
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+placed AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS k, ws FROM split WHERE len(ws) >= 13),
+wins AS (SELECT doc_id, k, array_to_string(list_slice(ws, k, k + 12), ' ') AS s FROM placed),
+firsts AS (SELECT s, min(doc_id) AS first FROM wins GROUP BY s),
+hits AS (SELECT w.doc_id, w.k FROM wins w JOIN firsts f ON w.s = f.s WHERE f.first < w.doc_id),
+gone AS (SELECT DISTINCT doc_id, k + j AS k FROM hits, range(13) t(j)),
+word AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM split),
+kept AS (SELECT w.doc_id, count(*) AS n_words, count(g.k) AS n_removed, string_agg(w.w, ' ' ORDER BY w.k) FILTER (WHERE g.k IS NULL) AS text FROM word w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.k = w.k GROUP BY w.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
 QUERIES = {"op3_window_index": op3_window_index}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_window_index": _ORACLE}
