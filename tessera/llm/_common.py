@@ -30,9 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Shuffle files go when the statement that made them has ended.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def write_table(df: DataFrame, name: str, partition_by: str | None = None) -> str:
-    path = f"{shared_dir(df.sparkSession)}/tessera/{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+    """Write df to the shared folder; nothing reads its shuffles again, so they are freed at once."""
+    conf = df.sparkSession.conf
+    path, before = f"{shared_dir(df.sparkSession)}/tessera/{name}-{uuid.uuid4().hex}", conf.get(_FREE_SHUFFLES, None)
+    conf.set(_FREE_SHUFFLES, "true")
+    try:
+        (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+    finally:
+        conf.set(_FREE_SHUFFLES, before) if before is not None else conf.unset(_FREE_SHUFFLES)
     return path
 
 
@@ -52,17 +62,6 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let the driver notice that finished shuffles are unreachable, so their files go."""
-    import gc
-    import time
-
-    for _ in range(2):  # the first round frees what Python holds, the second what that held
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.1)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

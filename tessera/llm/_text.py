@@ -84,6 +84,37 @@ def words(buf: np.ndarray, offsets: np.ndarray, within: np.ndarray = ~SPACE) ->
     return starts, ends - starts, np.searchsorted(offsets, starts, "right") - 1
 
 
+#: Bytes of text whose words are found and hashed at a time; the arrays for that take about 30 times as much memory.
+BLOCK = 2 << 20
+
+
+def hashed_words(buf: np.ndarray, offsets: np.ndarray, lower: bool = False, seeds: tuple[int, ...] = (0,)) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Start, length and text number of every word, and its hash for each seed.
+
+    Works through the bytes in blocks cut before white space, also inside a text, so that a
+    very long text takes only the memory of its words.
+    """
+    cuts = [0]
+    while len(buf) - cuts[-1] > 2 * BLOCK:
+        at = cuts[-1] + BLOCK
+        while at < len(buf):
+            space = np.flatnonzero(SPACE[buf[at : at + BLOCK]])
+            if len(space):
+                at += int(space[0])
+                break
+            at = min(len(buf), at + BLOCK)  # one word of more than a block stays whole
+        cuts.append(at)
+    cuts.append(len(buf))
+    found = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        own = offsets[np.searchsorted(offsets, a, "right") : np.searchsorted(offsets, b, "left")]
+        part = LOWER[buf[a:b]] if lower else buf[a:b]
+        starts, lens, _ = words(part, np.concatenate([[0], own - a, [b - a]]))
+        found.append((starts + a, lens, *(hash_spans(part, starts, lens, seed) for seed in seeds)))
+    starts, lens, *hashes = (np.concatenate(c) for c in zip(*found, strict=True))
+    return starts, lens, np.searchsorted(offsets, starts, "right") - 1, hashes
+
+
 def windows(word_hash: np.ndarray, doc: np.ndarray, width: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """First word number and 64-bit hash of every run of `width` words of one text."""
     n = len(word_hash) - width + 1

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import chunk_count, delete_path, documents, materialise, packed, partitions, read_table, release_shuffles, unpacked, write_table
+from ._common import chunk_count, delete_path, documents, materialise, packed, partitions, read_table, unpacked, write_table
 from ._text import LOWER, SPACE, hash_spans, mix, slices, utf8
 
 LEAST_CHARS, LEAST_DOCS = 40, 5
@@ -244,7 +244,6 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
     drops = materialise(drops, "line-drops")
     for path in (written, index_written):
         delete_path(spark, path)
-    release_shuffles(spark)
     rows = packed(docs, text_col, chunk, F.col(id_col).cast("long").alias("id"))
     out = [("row", None), ("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())]
     return rows.groupBy("chunk").cogroup(drops.groupBy("chunk")).applyInArrow(_cut(least_chars, out), f"row {rows.schema['row'].dataType.simpleString()}, text string, n_lines long, n_dropped long")

@@ -4,18 +4,24 @@ A document's set holds the 64-bit hashes of its distinct 5-word shingles.  Two s
 a and b link when their Jaccard similarity is at least 3/4, so they differ in at most
 (a + b) / 7 elements, and their sizes fall into the same or neighbouring bands [l, r] with
 r = floor(l / 0.75).  Every set takes part in its own band and in the next; in a band of
-largest size r a linked pair differs in at most k = floor(2 r / 7) elements.  The band cuts
-the element domain into m = k + 1 + floor(k / 2) parts by hash.  A pair disagrees on at
-most k parts, so of all ways to name m - k of the m parts it agrees on at least one; every
-set thus enumerates parts as signatures (part number and hash of the set's elements in it).
-
-Which parts have to be named is settled by one total order over signatures, by the
-number of sets that hold the part's rarest element: a pair's lowest common signature has
-at most k others below it, so the k + 1 lowest of each set suffice.  A part with an element
-of its own set alone cannot be shared and is counted but not sent; a set with k + 1 such
-parts, or with under 3/4 of its elements found elsewhere, has no partner and sends nothing.
-Empty parts come last in the order; a set that would have to name one sends its rarest
-elements instead (enough that a partner shares one), and so does any partner that needs it.
+largest size r a linked pair differs in at most k = floor(2 r / 7) elements.
+
+The two levels of PartEnum: the band cuts the element domain by hash into n1 partitions, and
+each partition into 3 parts.  A partition in which a pair differs in at most one part has a
+subset of 2 parts in which the two sets are equal, so every set enumerates the three such
+subsets of each partition as signatures (partition, subset, hash of the set's elements in
+it).  k differences cost two signatures each while they fall into different partitions and
+one more each after that; with n1 = floor(k / 2) + 1 + floor(k / 8) a linked pair always
+shares q = 3 n1 - 2 min(k, n1) - max(0, k - n1) >= 1 of its 3 n1 signatures.
+
+Which signatures have to be named is settled by one total order over them, by the number of
+sets that hold the rarest element: a linked pair's lowest common signature has at most
+3 n1 - q others below it in either set, so the 3 n1 - q + 1 lowest of each set suffice.  A
+signature with an element of its own set alone cannot be shared and is counted but not sent;
+a set with too many of those, or with under 3/4 of its elements found elsewhere, has no
+partner and sends nothing.  Empty signatures come last in the order; a set that would have
+to name one sends its rarest elements instead (enough that a partner shares one), and so
+does any partner that needs it.
 
 Links are found in two passes, neither of which pairs a group with itself.
 
@@ -23,53 +29,60 @@ The first sends only SKETCH of the signatures of each set and compares each node
 other: of those that share one of them, the one with most elements in common with anyone.
 Its verified links already join most near copies into components.
 
-The second is exact.  "Holders" are now components instead of sets: a part with an element
-of its own component alone cannot be shared with another one, so only what may still join
-two components is sent.  The intersection of two sets lies within what either of them has
-in common with other components, and a link needs (a + b) * 3 / 7 common elements, so a
-pair is a candidate only if both have as many.  Groups whose members lie in several
-components are first compared with the one member that has most in common; if that leaves
-them apart, with all members of other components that a third bound leaves: a bitmap of
-the parities of a set's element counts in SKETCH_BITS cells, of which two sets differ in at
-most as many bits as the sets in elements.
+The second is exact.  "Holders" are now components instead of sets: a signature with an
+element of its own component alone cannot be shared with another one, so only what may still
+join two components is sent.  Members of a group that lie in several components are compared
+with one centre of the group, the member with most in common; all groups of one centre form
+its court.  What is then left to find are links between two components of a court, and
+comparing all with all is not needed for that.  The symmetric difference with the centre
+keeps distances: with D(x) = x ^ centre, two sets differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)|
+elements.  If |D(x)| + |D(y)| <= (a + b) / 7, both are linked to the centre already (each
+size exceeds the centre's by |D| at most, so neither |D| can exceed its own bound), so two
+components of a court can only be joined by sets whose differences have at least
+t = (|D(x)| + |D(y)| - (a + b) / 7) / 2 > 0 elements in common.  Ordered by the number of
+members that hold them, the |D(x)| - t + 1 rarest elements of each difference suffice, and
+those that one component alone holds are counted but not sent.  Near copies of one text
+differ from it in elements that few others share, so what remains to be compared grows with
+the input, not with the square of a group.
 
 Every candidate is verified on the whole sets.
 
 Equal sets within a chunk of documents are one node.  Null, empty and wordless texts have
 an empty set and link with nothing.  Rows with the same id are one document for linking;
-a null id is smaller than any other.
+rows without an id are told apart by their texts, and a class has no component_id if none of
+its rows has an id.  Ids must be integers under 2^62.  A very long text takes memory for its
+words, not for a multiple of its bytes.  Only id and text are read, so other columns may have
+any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import delete_path, documents, partitions, read_table, release_shuffles, write_table
-from ._text import LOWER, hash_spans, mix, utf8, windows, words
-from .substring_dedup import NO_ID, pack, unpack
+from ._common import delete_path, documents, materialise, partitions, read_table, write_table
+from ._text import hashed_words, mix, utf8, windows
+from .substring_dedup import pack, unpack
 
 SHINGLE = 5
 #: Similarity as a fraction: linked when DEN * intersection >= NUM * union.
 NUM, DEN = 3, 4
 #: Signatures of a set and band in the first pass.
 SKETCH = 6
-#: Cells of the parity bitmap of a set.
-SKETCH_BITS = 1024
 BUCKET_BYTES = 16 << 20
+#: Rows without an id get one from here on, by their text; so such classes come after all others.
+NO_ID = 1 << 62
 _KEY = np.uint64((1 << 40) - 1)
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Elements of all sets end to end, sorted within each, and the n + 1 offsets."""
     n = len(offsets) - 1
-    starts, lens, doc = words(buf, offsets)
-    h = hash_spans(LOWER[buf], starts, lens)
+    _, _, doc, (h,) = hashed_words(buf, offsets, lower=True)
     first, element = windows(h, doc, SHINGLE)
     of = doc[first]
     count = np.bincount(doc, minlength=n)
@@ -166,6 +179,14 @@ def bands(most: int) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
+def plan(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For bands of largest size r: partitions of three parts, and how many of a set's lowest signatures it has to name."""
+    k = np.maximum(1, 2 * r // (NUM + DEN))
+    n1 = k // 2 + 1 + k // 8
+    shared = 3 * n1 - 2 * np.minimum(k, n1) - np.maximum(0, k - n1)
+    return n1, 3 * n1 - shared + 1
+
+
 def signatures(element: np.ndarray, offsets: np.ndarray, holders: np.ndarray, sketch: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(set number, signature) pairs to send; holders: how many sets, or components, hold each element.
 
@@ -187,30 +208,33 @@ def signatures(element: np.ndarray, offsets: np.ndarray, holders: np.ndarray, sk
         # The smallest partner in this band, and what a link with it takes.
         smallest = np.maximum(-(-NUM * size // DEN), ends[np.maximum(band - 2, 0)] + 1) if step == 0 else ends[band] + 1
         alive = possible & ((NUM + DEN) * common >= NUM * (size + smallest))
-        k = 2 * r // 7
-        m = k + 1 + k // 2
-        base = np.cumsum(np.where(alive, m, 0)) - np.where(alive, m, 0)
+        n1, name = plan(r)
+        m = np.where(alive, 3 * n1, 0)
+        base = np.cumsum(m) - m
         salt = mix(r.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(17))
         here = alive[of]
         own_element, own_holders, own_of = element[here], holders[here], of[here]
-        part = (mix(own_element ^ salt[own_of]) % m[own_of].astype(np.uint64)).astype(np.int64)
-        cell = base[own_of] + part
-        cells = int(np.where(alive, m, 0).sum())
+        cell = base[own_of] + (mix(own_element ^ salt[own_of]) % (3 * n1)[own_of].astype(np.uint64)).astype(np.int64)
+        cells = int(m.sum())
         rarest = np.full(cells, np.iinfo(np.int64).max)
         np.minimum.at(rarest, cell, own_holders)
         total = np.zeros(cells, dtype=np.uint64)
         np.add.at(total, cell, mix(own_element + np.uint64(0x5BF03635)))
-        owner = np.repeat(np.arange(n), np.where(alive, m, 0))
+        # Signature j of a partition leaves out its part j.
+        rarest, total = rarest.reshape(-1, 3), total.reshape(-1, 3)
+        rarest = np.minimum(rarest[:, [1, 0, 0]], rarest[:, [2, 2, 1]]).reshape(-1)
+        total = (total[:, [1, 0, 0]] + total[:, [2, 2, 1]]).reshape(-1)
+        owner = np.repeat(np.arange(n), m)
         number = np.arange(cells) - base[owner]
         filled = rarest < np.iinfo(np.int64).max
         own = np.bincount(owner[rarest == 1], minlength=n)
-        short |= alive & (np.bincount(owner[filled], minlength=n) <= k)
-        c = np.flatnonzero(filled & (rarest > 1) & (own <= k)[owner])
+        short |= alive & (np.bincount(owner[filled], minlength=n) < name)
+        c = np.flatnonzero(filled & (rarest > 1) & (own < name)[owner])
         sig = mix(total[c] ^ mix(number[c].astype(np.uint64) ^ salt[owner[c]]))
         order = np.lexsort((sig, rarest[c], owner[c]))
         who = owner[c][order]
         rank = np.arange(len(who)) - np.searchsorted(who, who)
-        pick = rank < (k + 1 - own)[who]
+        pick = rank < (name - own)[who]
         who, sig = who[pick], sig[order][pick]
         if sketch is not None:
             order = np.lexsort((sig, who))
@@ -324,34 +348,20 @@ def _sum_components(t: pa.Table) -> pa.Table:
     return _table(out, SHARED)
 
 
-SKETCH_WORDS = [f"s{i}" for i in range(SKETCH_BITS // 64)]
-OPEN = "kind int, sig long, node long, component long, size long, common long, " + ", ".join(f"{w} long" for w in SKETCH_WORDS)
-
-
-def parities(element: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One row of 64-bit words for each set."""
-    n = len(offsets) - 1
-    cell = (mix(element ^ np.uint64(0x2C1B3C6D)) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    counts = np.bincount(np.repeat(np.arange(n), np.diff(offsets)) * SKETCH_BITS + cell, minlength=n * SKETCH_BITS)
-    return np.packbits((counts & 1).astype(np.uint8).reshape(n, SKETCH_BITS), axis=1).view(np.int64)
+OPEN = "sig long, node long, size long, common long"
 
 
 def _sign_components(buckets: int):
-    """kind 1: signatures that may join components, and how many elements other components hold too; kind 2: nodes and their parities."""
+    """Signatures that may join components, and how many elements of the set other components hold too."""
 
     def run(t: pa.Table, shared: pa.Table) -> pa.Table:
         if not t.num_rows:
             return _table([], OPEN)
-        node, component, element, offsets = _sets(t)
+        node, _, element, offsets = _sets(t)
         holders = _holders(element, shared, buckets)
         who, sig = signatures(element, offsets, holders)
-        sets = np.unique(who)
-        both = np.concatenate([who, sets])
-        kind = np.repeat([1, 2], [len(who), len(sets)]).astype(np.int32)
-        bits = parities(element, offsets)[sets]
-        columns = [kind, np.concatenate([sig.view(np.int64), node[sets]]), node[both], component[both], np.diff(offsets)[both], _common(offsets, holders)[both]]
-        words_ = [pa.concat_arrays([pa.nulls(len(who), pa.int64()), pa.array(bits[:, w])]) for w in range(bits.shape[1])]
-        return pa.table([*map(pa.array, columns), *words_], names=["kind", "sig", "node", "component", "size", "common", *SKETCH_WORDS])
+        columns = [sig.view(np.int64), node[who], np.diff(offsets)[who], _common(offsets, holders)[who]]
+        return pa.table([pa.array(c) for c in columns], names=["sig", "node", "size", "common"])
 
     return run
 
@@ -368,6 +378,35 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("u").filter(keep), b.column("v").filter(keep)], names=["u", "v"])
 
 
+COURT = "centre long, node long, size long, d long, linked boolean, delta binary"
+
+
+def _centred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The symmetric difference of each node's set with its centre's, and whether the two link."""
+    for b in batches:
+        out: list[tuple] = []
+        for centre, node, x, y in zip(b.column("centre").to_pylist(), b.column("node").to_pylist(), b.column("x"), b.column("y"), strict=True):
+            p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            both = np.sort(np.concatenate([p, q]))
+            again = np.zeros(len(both) + 1, dtype=bool)
+            again[1:-1] = both[1:] == both[:-1]
+            common = int(again.sum())
+            alone = both[~(again[1:] | again[:-1])]
+            out.append((centre, node, len(q), len(alone), DEN * common >= NUM * (len(both) - common), alone.tobytes()))
+        columns = zip(*out, strict=True) if out else [[]] * 6
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in COURT.split(", ")])
+
+
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each element of a difference."""
+    for b in batches:
+        lens = np.array([len(x.as_buffer()) // 8 for x in b.column("delta")], dtype=np.int64)
+        element = np.frombuffer(b"".join(b.column("delta").to_pylist()), np.int64)
+        at = pa.array(np.repeat(np.arange(b.num_rows), lens))
+        yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("centre", "node", "component", "size", "d", "need")), pa.array(element)], names=["centre", "node", "component", "size", "d", "need", "element"])
+
+
 class _Tables:
     """Written tables of one run; under one name a new table replaces the last, whose files go."""
 
@@ -375,12 +414,6 @@ class _Tables:
         self.spark, self.paths = spark, {}
 
     def put(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-        out = self.put_small(df, name, partition_by)
-        release_shuffles(self.spark)
-        return out
-
-    def put_small(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-        """For tables of a few numbers a node, whose shuffles need no haste."""
         path = write_table(df, f"ngram-{name}", partition_by)
         if name in self.paths:
             delete_path(self.spark, self.paths[name])
@@ -421,6 +454,58 @@ def components(links: DataFrame, put) -> DataFrame:
         seen = now
 
 
+def _placed(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """nodes with their present component."""
+    return nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _courts(member: DataFrame, found: DataFrame, sets: DataFrame, put) -> tuple[DataFrame, DataFrame]:
+    """The courts of all groups that lie in several components (COURT), and the links to their centres."""
+    link = lambda other: (NUM + DEN) * F.col("common") >= NUM * (F.col("size") + F.col(other))
+    apart = lambda df, *more: df.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), *more).filter("low < high").drop("low", "high")
+    now = put(_placed(member, found), "members")
+    now = put(now.join(apart(now, F.min("size").alias("least")), "sig").filter(link("least")).drop("least"), "members")
+    lead = F.struct((F.lit(NUM + DEN) * F.col("common") - F.lit(2 * NUM) * F.col("size")).alias("slack"), "node")
+    pairs = now.join(apart(now, F.max(lead).alias("lead")), "sig").select(F.col("lead.node").alias("centre"), "node").distinct()
+    pairs = put(pairs, "pairs")
+    x, y = (sets.select(F.col("b").alias(who), F.col("blob").alias(blob)) for who, blob in (("centre", "x"), ("node", "y")))
+    court = put(pairs.join(y, "node").join(x, "centre").select("centre", "node", "x", "y").mapInArrow(_centred, COURT), "court")
+    return court, court.filter("linked and centre <> node").select(F.least("centre", "node").alias("u"), F.greatest("centre", "node").alias("v"))
+
+
+def _between_components(court: DataFrame, found: DataFrame, put) -> DataFrame:
+    """Candidate pairs u < v of one court and different components."""
+    row = _placed(court.drop("linked"), found)
+    # The least difference within a court, and the least among the components other than that one's.
+    nearest = row.groupBy("centre", "component").agg(F.min("d").alias("d"), F.max("size").alias("size"))
+    first = nearest.groupBy("centre").agg(F.min(F.struct("d", "component")).alias("first"), F.max("size").alias("largest"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").drop("low", "high")
+    second = nearest.join(first, "centre").filter(F.col("component") != F.col("first.component")).groupBy("centre").agg(F.min("d").alias("second"))
+    bounds = put(first.join(second, "centre").select("centre", "first", "second", "largest"), "bounds")
+    row = row.join(bounds, "centre")
+    partner = F.when(F.col("component") == F.col("first.component"), F.col("second")).otherwise(F.col("first.d"))
+    # 2 t >= |D(x)| + |D(y)| - (a + b) / 7, with the least |D(y)| and the largest b that a partner may have.
+    over = F.col("d") + partner - F.floor((F.col("size") + F.least("largest", F.floor(F.col("size") * DEN / NUM))) / (NUM + DEN))
+    row = row.withColumn("need", F.col("d") + 1 - F.greatest(F.lit(1), F.ceil(over / 2))).filter("need > 0")
+    kept = ("centre", "node", "component", "size", "d", "need")
+    token = put(row.select(*kept, "delta").mapInArrow(_elements, ", ".join(f"{c} long" for c in (*kept, "element"))), "tokens")
+    held = token.groupBy("centre", "element").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").drop("low", "high")
+    token = token.join(held, ["centre", "element"])
+    own = Window.partitionBy("centre", "node")  # as many rows as a difference has elements
+    token = token.withColumns({"rank": F.row_number().over(own.orderBy("n", "element")), "shared": F.count(F.lit(1)).over(own)})
+    # after: how many elements of the difference come no earlier in the order than this one.
+    token = token.withColumn("after", F.col("shared") - F.col("rank") + 1).filter(F.col("after") > F.col("d") - F.col("need"))
+    token = put(token.select("centre", "element", "node", "component", "size", "d", "after"), "tokens")
+    other = token.select("centre", "element", *(F.col(c).alias(f"{c}2") for c in ("node", "component", "size", "d", "after")))
+    # A pair's lowest common element has all t of them at or after it, in either difference.
+    fits = (F.col("component") != F.col("component2")) & (F.col("node") < F.col("node2")) & ((NUM + DEN) * (F.col("d") + F.col("d2") - 2 * F.least("after", "after2")) <= F.col("size") + F.col("size2"))
+    return put(token.join(other, ["centre", "element"]).filter(fits).select(F.col("node").alias("u"), F.col("node2").alias("v")).distinct(), "pairs")
+
+
+def _ids(id_col: str, text_col: str):
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(text), 2))
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id (the smallest id reachable by links) of every row of docs."""
     spark = docs.sparkSession
@@ -429,8 +514,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(partitions(spark), -(-size // BUCKET_BYTES))
     chunk = lambda c: F.pmod(F.xxhash64(c), F.lit(4 * buckets)).cast("int").alias("chunk")
-    id_ = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    rows = docs.select(chunk(id_), id_.alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    id_ = _ids(id_col, text_col)
+    # By id and text, so that many rows of one id, or of one text, do not meet in one chunk.
+    rows = docs.select(F.pmod(F.xxhash64(id_, text), F.lit(4 * buckets)).cast("int").alias("chunk"), id_.alias("id"), text.alias("text"))
     counted = rows.groupBy("chunk").applyInArrow(_count_chunk(buckets), COUNTS)
     shared = put(counted.groupBy("bucket").applyInArrow(_sum_bucket, SHARED), "shared")
     signed = rows.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_sign_chunk(buckets), PARTS)
@@ -443,40 +530,27 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = named.join(best, "sig").groupBy("own.node").agg(F.max("best").alias("best")).select(F.least("node", "best.node").alias("u"), F.greatest("node", "best.node").alias("v"))
     pairs = put(pairs.filter("u < v").distinct(), "pairs")
     links = put(_verify(pairs, sets), "links-first")
-    found = components(links, tables.put_small)
+    found = components(links, put)
 
     # Second pass: what may join components.
     placed = sets.withColumnRenamed("b", "node").join(found, "node", "left").select(chunk("node"), "node", F.coalesce("component", "node").alias("component"), "blob")
     placed = put(placed, "placed")
     held = placed.groupBy("chunk").applyInArrow(_held_by(buckets), HELD)
     shared = put(held.groupBy("bucket").applyInArrow(_sum_components, SHARED), "shared")
-    signed = put(placed.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_sign_components(buckets), OPEN), "open", partition_by="kind")
+    member = put(placed.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_sign_components(buckets), OPEN), "open")
     tables.drop("placed", "shared")
-    member, sketches = signed.filter("kind = 1").select("sig", "node", "size", "common"), signed.filter("kind = 2").select("node", *SKETCH_WORDS)
-    for whole in (False, True):
-        now = put(member.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), f"members-{whole}")
-        lead = F.struct((F.lit(NUM + DEN) * F.col("common") - F.lit(2 * NUM) * F.col("size")).alias("slack"), "node", "component", "size", "common")
-        group = now.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("size").alias("least"), F.max(lead).alias("lead")).filter("low < high").drop("low", "high")
-        group = put(group, f"groups-{whole}")
-        open_ = now.join(group.select("sig", "least"), "sig").filter((NUM + DEN) * F.col("common") >= NUM * (F.col("size") + F.col("least"))).drop("least")
-        member = put(open_, f"split-{whole}")
-        if whole:
-            member = put(member.join(sketches, "node"), "sketched")
-        words_ = SKETCH_WORDS if whole else []
-        other = (member if whole else group.select("sig", "lead.*")).select("sig", F.col("node").alias("p"), F.col("component").alias("pc"), F.col("size").alias("ps"), F.col("common").alias("pn"), *(F.col(w).alias(f"p{w}") for w in words_))
-        near = (F.col("component") != F.col("pc")) & ((NUM + DEN) * F.least("common", "pn") >= NUM * (F.col("size") + F.col("ps")))
-        if whole:
-            differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"p{w}"))) for w in words_])
-            near = near & (F.col("p") < F.col("node")) & ((NUM + DEN) * differ <= (DEN - NUM) * (F.col("size") + F.col("ps")))
-        pairs = put(member.join(other, "sig").filter(near).select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")).distinct(), "pairs")
-        more = put(_verify(pairs, sets), f"links-{whole}")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            found = components(links, tables.put_small)
-        member = member.drop("component")
+    court, more = _courts(member, found, sets, put)
+    tables.drop("open")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        found = components(links, put)
+    more = put(_verify(_between_components(court, found, put), sets), "links-last")
+    if not more.isEmpty():
+        found = components(links.unionByName(more), put)
     tables.finish("edges")
-    return nodes.select(F.col("a").alias("id"), F.col("b").alias("node"), "n").join(found, "node", "left").select(
-        F.when(F.col("id") != NO_ID, F.col("id")).alias("id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "node").alias("component_id")
+    real = lambda c: F.when(c < NO_ID, c)
+    return nodes.select(F.col("a").alias("key"), F.col("b").alias("node"), "n").join(found, "node", "left").select(
+        real(F.col("key")).alias("id"), F.col("n").cast("long").alias("n_shingles"), real(F.coalesce("component", "node")).alias("component_id"), "key", F.coalesce("component", "node").alias("component_key")
     )
 
 
@@ -485,11 +559,23 @@ def op7_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: that of the smallest id."""
-    own = F.coalesce("id", F.lit(NO_ID))
-    gone = jaccard_classes(docs).filter(own != F.col("component_id")).select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each component: that of the smallest id; of its repeated rows one stays.
+
+    Rows of one id are one document: those with the same text are copies, of which one stays,
+    those with another text stay too.  So does one row of each text that has no id.
+    """
+    classes = materialise(jaccard_classes(docs, id_col, text_col).select("key", "component_key"), "ngram-classes")
+    gone = classes.filter("key <> component_key").select(F.col("key").alias("_gone")).distinct()
+    key = F.struct(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _ids(id_col, text_col).alias("key"))
+    rows = docs.select(key.alias("x")).select("x.*")
+    kept = rows.join(gone, rows["key"] == gone["_gone"], "left_anti")
+    # Few ids repeat, if any: only their rows are compared by text.
+    again = classes.groupBy("key").count().filter("count > 1").select(F.col("key").alias("_again"))
+    if not again.isEmpty():
+        once = kept.join(again, kept["key"] == again["_again"], "left_anti")
+        kept = kept.join(again, kept["key"] == again["_again"], "left_semi").withColumn("text", F.xxhash64(F.col(f"row.`{text_col}`"), F.lit(1))).dropDuplicates(["key", "text"]).drop("text").unionByName(once)
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 _ORACLE = """

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import delete_path, documents, packed, partitions, read_table, release_shuffles, write_table
+from ._common import delete_path, documents, packed, partitions, read_table, write_table
 from ._text import hash_spans, mix, slices, utf8, windows, words
 
 WIDTH, BATCHES, MOST_RUNS = 13, 4, 2
@@ -205,8 +205,6 @@ class FingerprintIndex:
             self.run_paths.append(f"{path}/kind=1")
         found = tables.filter("kind = 0").select(F.col("place").alias("chunk"), "first", "second")
         self.repeats.append(found)
-        del entries, merged, runs
-        release_shuffles(self.spark)
         return found
 
     def close(self) -> None:

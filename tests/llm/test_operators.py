@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, line_dedup, mtree, ngram_join, secret_scan, sharding, substring_dedup, toxicity, url_filter
+from tessera.llm import _text, decontamination, line_dedup, mtree, ngram_join, secret_scan, sharding, substring_dedup, toxicity, url_filter
 
 from . import brute
 
@@ -118,7 +118,7 @@ def test_perfect_hash(n):
 # 7
 
 def check_components(spark, rows):
-    got = {r[0]: (r[1], r[2]) for r in ngram_join.jaccard_classes(frame(spark, rows)).collect()}
+    got = {r.id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_classes(frame(spark, rows)).collect()}
     want = brute.components(rows)
     assert got == want
     return want
@@ -148,25 +148,67 @@ def test_components_of_a_large_group(spark):
     rng = random.Random(5)
     base = [f"b{i}" for i in range(80)]
     rows = []
-    for i in range(150):
+    for i in range(900):
         t = list(base)
         for _ in range(rng.randint(0, 5)):
             t[rng.randrange(80)] = f"v{rng.randrange(30)}"
         rows.append((i, " ".join(t)))
-    rows += [(1000 + i, " ".join(base[:30] + [f"o{i}_{k}" for k in range(40)])) for i in range(60)]
+    rows += [(10_000 + i, " ".join(base[:30] + [f"o{i}_{k}" for k in range(40)])) for i in range(300)]
     check_components(spark, rows)
 
 
+def test_pairs_compared_in_a_large_group_grow_with_it(spark, monkeypatch):
+    """Copies too far from each other to link, around near copies that do: no pass compares all with all."""
+    compared = []
+    verify = ngram_join._verify
+    monkeypatch.setattr(ngram_join, "_verify", lambda pairs, sets: compared.append(pairs.count()) or verify(pairs, sets))
+    for n in (80, 320):
+        rng = random.Random(n)
+        base, rows = [f"b{i}" for i in range(200)], []
+        for i in range(n):
+            t = list(base)
+            for at in rng.sample(range(200), 2 if i % 3 else 9):
+                t[at] = f"{i}_{at}"
+            rows.append((i, " ".join(t)))
+        compared.clear()
+        check_components(spark, rows)
+        assert sum(compared) <= 4 * n
+
+
+def test_partenum_shares_a_signature(spark):
+    """Two sets of one band that differ in at most k elements name a common signature, wherever the differences fall."""
+    rng = np.random.default_rng(4)
+    for size in (4, 9, 30, 100, 396):
+        for _ in range(20):
+            base = rng.integers(1, 2**63, size, dtype=np.uint64)
+            gone = rng.integers(0, 2 * size // 7 // 2 + 1)
+            other = np.concatenate([base[gone:], rng.integers(1, 2**63, gone, dtype=np.uint64)])
+            if 7 * len(np.intersect1d(base, other)) < 3 * 2 * size:
+                continue
+            element = np.concatenate([np.sort(base), np.sort(other)])
+            holders = np.where(np.isin(element, np.intersect1d(base, other)), 2, 1)
+            who, sig = ngram_join.signatures(element, np.array([0, size, 2 * size]), holders)
+            assert set(sig[who == 0].tolist()) & set(sig[who == 1].tolist())
+
+
 def test_components_edges(spark):
     rows = [(3, "a b"), (1, "A  B"), (2, "a b c"), (7, None), (8, ""), (9, "\n"), (None, "a b"), (4, "x y z"), (4, "x y z")]
-    got = ordered(ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    low = ngram_join.NO_ID
-    assert got == ordered([(3, 1, low), (1, 1, low), (2, 1, 2), (7, 0, 7), (8, 0, 8), (9, 0, 9), (None, 1, low), (4, 1, 4), (4, 1, 4)])
+    rows += [(None, "a b"), (None, "p q"), (None, None)]
+    got = ordered(ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).select("id", "n_shingles", "component_id").collect())
+    assert got == ordered([(3, 1, 1), (1, 1, 1), (2, 1, 2), (7, 0, 7), (8, 0, 8), (9, 0, 9), (None, 1, 1), (None, 1, 1), (4, 1, 4), (4, 1, 4), (None, 1, None), (None, 0, None)])
     kept = ngram_join.one_of_each(frame(spark, rows))
-    assert ordered(kept.select("doc_id").collect()) == ordered([(None,), (2,), (7,), (8,), (9,), (4,), (4,)])
+    assert kept.columns == frame(spark, rows).columns
+    assert ordered(kept.select("doc_id", "text").collect()) == ordered([(1, "A  B"), (2, "a b c"), (7, None), (8, ""), (9, "\n"), (4, "x y z"), (None, "p q"), (None, None)])
     assert ngram_join.jaccard_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_components_of_a_very_long_text(spark, monkeypatch):
+    monkeypatch.setattr(_text, "BLOCK", 1 << 10)
+    rng = random.Random(12)
+    t = [f"w{rng.randrange(9000)}" for _ in range(20_000)]
+    check_components(spark, [(1, " ".join(t)), (2, "lead " + "\n".join(t)), (3, "x" * 50_000 + " " + " ".join(t[5000:])), (4, " ".join(t[:9000])), (5, "y" * 100_000)])
+
+
 # 9
 
 @pytest.mark.parametrize("shards", [1, 3, 24])
@@ -222,7 +264,7 @@ def test_urls(spark):
     rng = random.Random(1)
     hosts = ["net", "a.net", "NET", "anet", "example.net", "x.example.net", "example.com", "myexample.com", "org", "b.org", "ads.b.org", "my-ads.com", "adsx.com", "a_net", "u@h.net:80", ""]
     paths = ["", "/", "/en/", "/en", "/EN/x", "/de/1", "/fr/", "/cart/x", "/login", "/logins", "?x", "#y", "/a?b=/en/"]
-    rows = [(i, f"{rng.choice(['http', 'https', 'x'])}://{rng.choice(hosts)}{rng.choice(paths)}") for i in range(600)]
+    rows = [(i, f"{rng.choice(['http', 'https', 'x'])}://{rng.choice(hosts)}{rng.choice(paths)}") for i in range(300)]
     rows += [(900, None), (901, ""), (902, "no scheme"), (903, "http://a.net/en/://b.org/fr/"), (904, "http://" + "a." * 20_000 + "net/x"), (None, rows[0][1]), (0, rows[0][1])]
     got = url_filter.filter_urls(frame(spark, rows, "page_id long, url string"))
 
