@@ -61,7 +61,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import delete_path, documents, materialise, partitions, read_table, write_table
@@ -312,40 +312,53 @@ def _sets(t: pa.Table) -> tuple[np.ndarray, ...]:
     return t.column("node").to_numpy().astype(np.int64), t.column("component").to_numpy().astype(np.int64), np.frombuffer(b"".join(blobs), np.uint64), offsets
 
 
-HELD = "bucket int, chunk int, n long, base long, keys binary, counts binary"
+HELD = "bucket int, chunk int, n long, base long, keys binary, components binary, counts binary"
 
 
 def _held_by(buckets: int):
-    """The distinct (element, component) pairs of a chunk, by bucket."""
+    """The distinct (element, component) pairs of a chunk and how many sets each stands for, by bucket."""
 
     def run(t: pa.Table) -> pa.Table:
         _, component, element, offsets = _sets(t)
+        if "centre" in t.column_names:  # elements of different courts have nothing to do with each other
+            element = _of_court(element, np.repeat(t.column("centre").to_numpy(), np.diff(offsets)))
         rows = np.empty(len(element), dtype=[("b", "u8"), ("k", "u8"), ("c", "i8")])
         rows["b"], rows["k"], rows["c"] = (element >> np.uint64(40)) % np.uint64(buckets), element & _KEY, np.repeat(component, np.diff(offsets))
-        rows = np.unique(rows)
+        if not len(rows):
+            return _table([], HELD)
+        rows, count = np.unique(rows, return_counts=True)
         base, chunk = int(rows["c"].min()), t.column("chunk")[0].as_py()
-        parts = np.split(rows, np.flatnonzero(np.diff(rows["b"])) + 1)
-        return _table([(int(p["b"][0]), chunk, len(p), base, pack(np.diff(p["k"], prepend=np.uint64(0))), pack((p["c"] - base).view(np.uint64))) for p in parts], HELD)
+        parts = np.split(np.arange(len(rows)), np.flatnonzero(np.diff(rows["b"])) + 1)
+        packed = lambda p: (pack(np.diff(rows["k"][p], prepend=np.uint64(0))), pack((rows["c"][p] - base).view(np.uint64)), pack(count[p].astype(np.uint64)))
+        return _table([(int(rows["b"][p[0]]), chunk, len(p), base, *packed(p)) for p in parts], HELD)
 
     return run
 
 
-def _sum_components(t: pa.Table) -> pa.Table:
-    """For every chunk the elements of this bucket that several components hold, and how many do."""
-    rows = t.to_pylist()
-    keys = [np.cumsum(unpack(r["keys"], r["n"]), dtype=np.uint64) for r in rows]
-    pairs = np.empty(sum(map(len, keys)), dtype=[("k", "u8"), ("c", "i8")])
-    pairs["k"] = np.concatenate(keys)
-    pairs["c"] = np.concatenate([(unpack(r["counts"], r["n"]) + np.uint64(r["base"] % 2**64)).view(np.int64) for r in rows])
-    distinct, total = np.unique(np.unique(pairs)["k"], return_counts=True)
-    out = []
-    for r, k in zip(rows, keys, strict=True):
-        k = np.unique(k)
-        n = total[np.searchsorted(distinct, k)]
-        k, n = k[n > 1], n[n > 1]
-        if len(k):
-            out.append((r["chunk"], len(k), pack(np.diff(k | np.uint64(r["bucket"] << 40), prepend=np.uint64(0))), pack(n.astype(np.uint64))))
-    return _table(out, SHARED)
+def _sum_components(sets: bool):
+    """For every chunk the elements of this bucket that several components hold, and how many do; or how many sets."""
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        keys = [np.cumsum(unpack(r["keys"], r["n"]), dtype=np.uint64) for r in rows]
+        pairs = np.empty(sum(map(len, keys)), dtype=[("k", "u8"), ("c", "i8")])
+        pairs["k"] = np.concatenate(keys)
+        pairs["c"] = np.concatenate([(unpack(r["components"], r["n"]) + np.uint64(r["base"] % 2**64)).view(np.int64) for r in rows])
+        distinct, holders = np.unique(np.unique(pairs)["k"], return_counts=True)
+        total = holders
+        if sets:
+            total = np.zeros(len(distinct), dtype=np.int64)
+            np.add.at(total, np.searchsorted(distinct, pairs["k"]), np.concatenate([unpack(r["counts"], r["n"]) for r in rows]).astype(np.int64))
+        out = []
+        for r, k in zip(rows, keys, strict=True):
+            k = np.unique(k)
+            at = np.searchsorted(distinct, k)
+            at, k = at[holders[at] > 1], k[holders[at] > 1]
+            if len(k):
+                out.append((r["chunk"], len(k), pack(np.diff(k | np.uint64(r["bucket"] << 40), prepend=np.uint64(0))), pack(total[at].astype(np.uint64))))
+        return _table(out, SHARED)
+
+    return run
 
 
 OPEN = "sig long, node long, size long, common long"
@@ -398,13 +411,36 @@ def _centred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in COURT.split(", ")])
 
 
-def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each element of a difference."""
-    for b in batches:
-        lens = np.array([len(x.as_buffer()) // 8 for x in b.column("delta")], dtype=np.int64)
-        element = np.frombuffer(b"".join(b.column("delta").to_pylist()), np.int64)
-        at = pa.array(np.repeat(np.arange(b.num_rows), lens))
-        yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("centre", "node", "component", "size", "d", "need")), pa.array(element)], names=["centre", "node", "component", "size", "d", "need", "element"])
+def _of_court(element: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    return mix(element ^ mix(centre.view(np.uint64)))
+
+
+PREFIX = "token long, centre long, node long, component long, size long, d long, after long"
+
+
+def _prefixes(buckets: int):
+    """Of each difference the elements of its prefix that other components of the court hold too.
+
+    after: how many such elements come no earlier in the order of rarity than this one.
+    """
+
+    def run(t: pa.Table, shared: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return _table([], PREFIX)
+        node, component, element, offsets = _sets(t)
+        centre, size, d, need = (t.column(c).to_numpy() for c in ("centre", "size", "d", "need"))
+        of = np.repeat(np.arange(len(node)), np.diff(offsets))
+        token = _of_court(element, centre[of])
+        n = _holders(token, shared, buckets)
+        token, n, of = token[n > 1], n[n > 1], of[n > 1]
+        order = np.lexsort((token, n, of))
+        token, of = token[order], of[order]
+        after = np.searchsorted(of, of, "right") - np.arange(len(of))
+        pick = after > (d - need)[of]
+        token, of, after = token[pick], of[pick], after[pick]
+        return pa.table([pa.array(x) for x in (token.view(np.int64), centre[of], node[of], component[of], size[of], d[of], after)], names=[f.split()[0] for f in PREFIX.split(", ")])
+
+    return run
 
 
 class _Tables:
@@ -473,7 +509,7 @@ def _courts(member: DataFrame, found: DataFrame, sets: DataFrame, put) -> tuple[
     return court, court.filter("linked and centre <> node").select(F.least("centre", "node").alias("u"), F.greatest("centre", "node").alias("v"))
 
 
-def _between_components(court: DataFrame, found: DataFrame, put) -> DataFrame:
+def _between_components(court: DataFrame, found: DataFrame, chunk, buckets: int, put) -> DataFrame:
     """Candidate pairs u < v of one court and different components."""
     row = _placed(court.drop("linked"), found)
     # The least difference within a court, and the least among the components other than that one's.
@@ -486,19 +522,13 @@ def _between_components(court: DataFrame, found: DataFrame, put) -> DataFrame:
     # 2 t >= |D(x)| + |D(y)| - (a + b) / 7, with the least |D(y)| and the largest b that a partner may have.
     over = F.col("d") + partner - F.floor((F.col("size") + F.least("largest", F.floor(F.col("size") * DEN / NUM))) / (NUM + DEN))
     row = row.withColumn("need", F.col("d") + 1 - F.greatest(F.lit(1), F.ceil(over / 2))).filter("need > 0")
-    kept = ("centre", "node", "component", "size", "d", "need")
-    token = put(row.select(*kept, "delta").mapInArrow(_elements, ", ".join(f"{c} long" for c in (*kept, "element"))), "tokens")
-    held = token.groupBy("centre", "element").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").drop("low", "high")
-    token = token.join(held, ["centre", "element"])
-    own = Window.partitionBy("centre", "node")  # as many rows as a difference has elements
-    token = token.withColumns({"rank": F.row_number().over(own.orderBy("n", "element")), "shared": F.count(F.lit(1)).over(own)})
-    # after: how many elements of the difference come no earlier in the order than this one.
-    token = token.withColumn("after", F.col("shared") - F.col("rank") + 1).filter(F.col("after") > F.col("d") - F.col("need"))
-    token = put(token.select("centre", "element", "node", "component", "size", "d", "after"), "tokens")
-    other = token.select("centre", "element", *(F.col(c).alias(f"{c}2") for c in ("node", "component", "size", "d", "after")))
+    row = put(row.select(chunk("centre", "node"), "centre", "node", "component", "size", "d", "need", F.col("delta").alias("blob")), "placed")
+    shared = row.groupBy("chunk").applyInArrow(_held_by(buckets), HELD).groupBy("bucket").applyInArrow(_sum_components(True), SHARED)
+    token = put(row.groupBy("chunk").cogroup(put(shared, "shared").groupBy("chunk")).applyInArrow(_prefixes(buckets), PREFIX), "tokens")
+    other = token.select("token", "centre", *(F.col(c).alias(f"{c}2") for c in ("node", "component", "size", "d", "after")))
     # A pair's lowest common element has all t of them at or after it, in either difference.
     fits = (F.col("component") != F.col("component2")) & (F.col("node") < F.col("node2")) & ((NUM + DEN) * (F.col("d") + F.col("d2") - 2 * F.least("after", "after2")) <= F.col("size") + F.col("size2"))
-    return put(token.join(other, ["centre", "element"]).filter(fits).select(F.col("node").alias("u"), F.col("node2").alias("v")).distinct(), "pairs")
+    return put(token.join(other, ["token", "centre"]).filter(fits).select(F.col("node").alias("u"), F.col("node2").alias("v")).distinct(), "pairs")
 
 
 def _ids(id_col: str, text_col: str):
@@ -513,7 +543,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     put = tables.put
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(partitions(spark), -(-size // BUCKET_BYTES))
-    chunk = lambda c: F.pmod(F.xxhash64(c), F.lit(4 * buckets)).cast("int").alias("chunk")
+    chunk = lambda *c: F.pmod(F.xxhash64(*c), F.lit(4 * buckets)).cast("int").alias("chunk")
     text = F.col(text_col).cast("string")
     id_ = _ids(id_col, text_col)
     # By id and text, so that many rows of one id, or of one text, do not meet in one chunk.
@@ -536,7 +566,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = sets.withColumnRenamed("b", "node").join(found, "node", "left").select(chunk("node"), "node", F.coalesce("component", "node").alias("component"), "blob")
     placed = put(placed, "placed")
     held = placed.groupBy("chunk").applyInArrow(_held_by(buckets), HELD)
-    shared = put(held.groupBy("bucket").applyInArrow(_sum_components, SHARED), "shared")
+    shared = put(held.groupBy("bucket").applyInArrow(_sum_components(False), SHARED), "shared")
     member = put(placed.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_sign_components(buckets), OPEN), "open")
     tables.drop("placed", "shared")
     court, more = _courts(member, found, sets, put)
@@ -544,7 +574,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not more.isEmpty():
         links = links.unionByName(more)
         found = components(links, put)
-    more = put(_verify(_between_components(court, found, put), sets), "links-last")
+    more = put(_verify(_between_components(court, found, chunk, buckets, put), sets), "links-last")
     if not more.isEmpty():
         found = components(links.unionByName(more), put)
     tables.finish("edges")
