@@ -13,9 +13,11 @@
 
 A line's key is the line without white space at both ends and with A-Z lower-cased.  Keys
 of at least `least_chars` code points in at least `least_docs` documents stay only in the
-document of the largest id.  Every row is a document of its own: repeated rows count each,
-and all rows of the largest id keep the line.  A null id is smaller than any other.  Null
-and empty texts are one empty line and stay as they are.
+document of the largest id.  Rows of one id are one document: they count once, and all rows
+of the largest id keep the line.  Rows without an id count for nothing and keep all lines.
+Null and empty texts are one empty line and stay as they are.  Ids must be integers.  Very
+long texts are one slice each, at about 20 times their size of memory.  The other columns of
+docs travel as one struct, so their names cannot clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from ._text import LOWER, SPACE, hash_spans, mix, slices, utf8
 
 LEAST_CHARS, LEAST_DOCS = 40, 5
 NO_ID = -(2**63)
+#: Chunk of counts that belong to no chunk of documents.
+OUTSIDE = -1
 GAMMA, LEVELS = 2.0, 24
 
 
@@ -205,6 +209,7 @@ def _cut(least_chars: int, out_types: list[tuple[str, pa.DataType]]):
         for batch in docs.combine_chunks().to_batches():
             for b in slices(batch, "text"):
                 column = b.column(b.schema.get_field_index("text"))
+                named = b.column(b.schema.get_field_index("id")).is_valid().to_numpy(zero_copy_only=False)
                 ids = b.column(b.schema.get_field_index("id")).fill_null(NO_ID).to_numpy()
                 buf, offsets = utf8(column)
                 start, end, doc = line_spans(buf, offsets)
@@ -214,7 +219,7 @@ def _cut(least_chars: int, out_types: list[tuple[str, pa.DataType]]):
                     probe = np.empty(len(which), dtype=keys.dtype)
                     probe["a"], probe["b"] = h1, h2
                     at = np.minimum(np.searchsorted(keys, probe), len(keys) - 1)
-                    gone[which] = (keys[at] == probe) & (ids[doc[which]] != last[at])
+                    gone[which] = (keys[at] == probe) & (ids[doc[which]] != last[at]) & named[doc[which]]
                 n = len(column)
                 n_lines, n_gone = np.bincount(doc, minlength=n), np.bincount(doc[gone], minlength=n)
                 texts, first = column.to_pylist(), np.cumsum(n_lines) - n_lines
@@ -228,19 +233,35 @@ def _cut(least_chars: int, out_types: list[tuple[str, pa.DataType]]):
     return run
 
 
+def _documents_of(emitted: DataFrame, ids: DataFrame) -> DataFrame:
+    """(chunk, h1, h2, n, last): by chunk and line the documents that hold it, and the largest id."""
+    count = lambda df: df.groupBy("chunk", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
+    again = materialise(ids.groupBy("id").count().filter("count > 1").select("id"), "repeated-ids")
+    if again.isEmpty():
+        return count(emitted)
+    # The rows of an id may lie in several chunks: there they only ask (n = 0), and count once outside of all.
+    emitted = materialise(emitted, "line-rows")
+    rows = emitted.join(again, "id", "left_semi")
+    asked = rows.select("chunk", "h1", "h2").distinct().select("*", F.lit(0).cast("long").alias("n"), F.lit(NO_ID).alias("last"))
+    once = count(rows.select(F.lit(OUTSIDE).alias("chunk"), "id", "h1", "h2").distinct())
+    return count(emitted.join(again, "id", "left_anti")).unionByName(asked).unionByName(once)
+
+
 def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, id_col: str = "doc_id", text_col: str = "text", shard_rows: int = 1 << 20) -> DataFrame:
     """row, text (kept lines), n_lines and n_dropped of every row of docs."""
     spark = docs.sparkSession
     chunks = chunk_count(docs, text_col)
-    chunk = F.pmod(F.xxhash64(F.col(id_col)), F.lit(chunks)).cast("int").alias("chunk")
-    emitted = docs.select(chunk, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_emit(least_chars), "chunk int, id long, h1 long, h2 long")
-    written = write_table(emitted.groupBy("chunk", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")), "lines")
+    # By id and text, so that many rows of one id, or without one, do not meet in one chunk.
+    chunk = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(chunks)).cast("int").alias("chunk")
+    named = docs.filter(F.col(id_col).isNotNull())
+    emitted = named.select(chunk, F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_emit(least_chars), "chunk int, id long, h1 long, h2 long")
+    written = write_table(_documents_of(emitted, named.select(F.col(id_col).cast("long").alias("id"))), "lines")
     lines = read_table(spark, written, "chunk int, h1 long, h2 long, n long, last long")
     shards = max(4 * partitions(spark), -(-lines.count() // shard_rows))
     lines = lines.withColumn("shard", F.pmod(F.col("h1"), F.lit(shards)).cast("int"))
     index_written = write_table(build_index(lines), "line-index")
     index = read_table(spark, index_written, INDEX)
-    drops = lines.select("shard", "chunk", "h1", "h2").groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(_probe_shard(least_docs), "chunk int, h1 binary, h2 binary, last binary")
+    drops = lines.filter(F.col("chunk") != OUTSIDE).select("shard", "chunk", "h1", "h2").groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(_probe_shard(least_docs), "chunk int, h1 binary, h2 binary, last binary")
     drops = materialise(drops, "line-drops")
     for path in (written, index_written):
         delete_path(spark, path)

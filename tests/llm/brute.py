@@ -40,14 +40,14 @@ def substring_dedup(rows, width=13):
 def line_dedup(rows, least_chars=40, least_docs=5):
     key = lambda line: lower(line.strip(SPACE))
     docs = {}
-    for n, (i, t) in enumerate(rows):
+    for i, t in rows:
         for line in (t or "").split("\n"):
-            if len(key(line)) >= least_chars:
-                docs.setdefault(key(line), {})[n] = float("-inf") if i is None else i
+            if len(key(line)) >= least_chars and i is not None:
+                docs.setdefault(key(line), set()).add(i)
     out = []
     for i, t in rows:
         lines = (t or "").split("\n")
-        kept = [x for x in lines if len(docs.get(key(x), ())) < least_docs or (float("-inf") if i is None else i) == max(docs[key(x)].values())]
+        kept = [x for x in lines if i is None or len(docs.get(key(x), ())) < least_docs or i == max(docs[key(x)])]
         out.append((i, len(lines), len(lines) - len(kept), sha("\n".join(kept))))
     return out
 

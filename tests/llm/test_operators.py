@@ -101,6 +101,9 @@ def test_lines_edges(spark):
     rows = [(1, line), (1, line.lower()), (2, f" {line}\n{line}"), (None, line), (9, f"{line}\nkeep"), (9, line), (3, None), (4, "\n")]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).collect()
     assert ordered(got) == ordered(brute.line_dedup(rows))
+    rows += [(k, f"{line}\n{k}") for k in (20, 21, 22)] + [(1, f"{line} ")] * 3
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).collect()
+    assert ordered(got) == ordered(brute.line_dedup(rows)) and sum(r.n_dropped for r in got) == 11
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     kept = line_dedup.without_repeated_lines(frame(spark, rows))
     assert kept.columns == frame(spark, rows).columns and kept.count() == len(rows)
@@ -297,7 +300,7 @@ def distance(pattern, text):
 def test_leaks(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 6)))
-    items = [(i, " ".join(word() for _ in range(rng.randint(8, 20)))) for i in range(12)] + [(50, "too short an item"), (51, None), (None, "a b c d e f g h i j")]
+    items = [(i, " ".join(word() for _ in range(rng.randint(8, 20)))) for i in range(12)] + [(50, "Too short, an item of seven words"), (51, None), (52, " - "), (0, None), (None, "a b c d e f g h i j")]
     rows = [(1000, None), (1001, ""), (1002, "zz " * 20_000 + items[0][1].upper())]
     for i in range(60):
         t = list(rng.choice(items[:12])[1])
@@ -306,6 +309,7 @@ def test_leaks(spark):
             t[k : k + rng.randint(0, 1)] = rng.choice(["", "x", "a", "b "])
         rows.append((i, "lead in " + "".join(t) + " tail"))
     rows.append(rows[5])
+    rows += [(2000, "is too short an item of seven words?"), (2001, "xtoo short an item of seven words"), (2002, "too short an item of seven wordsy"), (2003, "Too short an Item of seven words")]
     docs, bench = frame(spark, rows), frame(spark, items, "item_id long, text string")
     want = []
     for d, t in rows:
@@ -315,15 +319,16 @@ def test_leaks(spark):
             if len(t) < 1000 and (dist := distance(x, t)) <= int(len(x) * 0.1 + 1e-9):
                 want.append((d, i, dist))
     want.append((1002, 0, 0))
+    short = [(2000, 50, 0), (2003, 50, 0)]
     got = ordered(decontamination.find_items(docs, bench).select("doc_id", "item_id", "distance").collect())
-    assert got == ordered(want) and len(want) > 20
+    assert got == ordered(want + short) and len(want) > 20
     kept = decontamination.decontaminate(docs, bench)
     assert kept.columns == docs.columns and ordered(kept.select("doc_id").collect()) == ordered((d,) for d, _ in rows if d not in {w[0] for w in want})
     assert decontamination.find_items(docs, bench.limit(0)).count() == 0 and decontamination.decontaminate(docs.limit(0), bench).count() == 0
 
 
 def test_leaks_in_blocks_of_items(spark, monkeypatch):
-    monkeypatch.setattr(decontamination.item_blocks, "__defaults__", (60,))
+    monkeypatch.setattr(decontamination, "BLOCK_CHARS", 60)
     items = [(i, " ".join(f"{'abcde'[i] * 6}{k}" for k in range(9))) for i in range(5)]
     docs = spark.createDataFrame([(i, "x " + t + " y") for i, t in items] + [(9, "clean")], "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -335,7 +340,8 @@ def test_leaks_in_blocks_of_items(spark, monkeypatch):
 
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(mtree, "BLOCK_ROWS", 300)
-    monkeypatch.setattr(mtree, "QUERY_ROWS", 16)
+    monkeypatch.setattr(mtree, "QUERY_ROWS", 40)
+    monkeypatch.setattr(mtree, "TOGETHER", 16)
     monkeypatch.setattr(mtree, "PAGE", 16)
     rng = np.random.default_rng(3)
     x = np.floor(rng.normal(size=(700, 6)) * 4).astype(int)
