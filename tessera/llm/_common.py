@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,22 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """A materialise() whose tables are deleted at the end."""
+    paths: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        paths.append(write_table(df, name))
+        return read_table(spark, paths[-1], df.schema)
+
+    try:
+        yield keep
+    finally:
+        for path in paths:
+            delete_path(spark, path)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

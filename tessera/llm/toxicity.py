@@ -14,8 +14,10 @@ into a probability.  Three quarters of the sample teach the ratios; the other qu
 which they are not made to fit, teaches the extreme-value law and the logistic curve.
 
 Null and empty texts have no passages and get the score of such a text.  Repeated rows
-keep their rows.  Null labels teach nothing.  With no labelled document of one of the
-classes the score is the share of toxic labels, or 0 without labels.
+keep their rows and score alike.  Null labels teach nothing.  With no labelled document of
+one of the classes the score is the share of toxic labels, or 0 without labels.  A very long
+text is one slice, at about 40 times its size of memory.  The other columns travel as one
+struct, so their names cannot clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, materialise, packed, unpacked
+from ._common import documents, materialise, packed, scratch, unpacked
 from ._text import LOWER, hash_spans, mix, slices, utf8, windows, words
 
 #: The model is fitted on at most so many labelled documents, those of the smallest hashed ids.
@@ -143,7 +145,7 @@ def _minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(m.view(np.int64)) for m in out)], names=["id", "toxic", "m0", "m1", "m2"])
 
 
-def learn_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def learn_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS, keep=materialise, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """text, toxic and part (0 to 3) of at most `most` labelled documents that are not held out; of near copies one."""
     marked = labels.filter(F.col("toxic").isNotNull() & ~_held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
     marked = marked.orderBy(F.xxhash64("id"), "id").limit(most)  # bounded, so it may be broadcast
@@ -151,7 +153,7 @@ def learn_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS, id
     hashes = texts.join(F.broadcast(marked), "id").select("id", "toxic", "text").mapInArrow(_minima, "id long, toxic int, m0 long, m1 long, m2 long")
     for m in ("m0", "m1", "m2"):
         hashes = hashes.groupBy(m).agg(F.min_by(F.struct(*hashes.columns), "id").alias("one")).select("one.*")
-    chosen = materialise(hashes.select("id", "toxic").distinct(), "toxic-ids")
+    chosen = keep(hashes.select("id", "toxic").distinct(), "toxic-ids")
     found = texts.join(F.broadcast(chosen), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
     return found.select("text", "toxic", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4)).cast("int").alias("part"))
 
@@ -187,9 +189,13 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    sample = materialise(learn_sample(docs, labels, most, id_col, text_col), "toxic-sample")  # read three times
+    with scratch(docs.sparkSession) as keep:
+        return _fit(keep(learn_sample(docs, labels, most, keep, id_col, text_col), "toxic-sample"), keep)
+
+
+def _fit(sample: DataFrame, keep) -> Model:
     taught, fresh = sample.filter("part < 3"), sample.filter("part = 3")
-    counts = taught.mapInArrow(_count_tokens, "token long, bad long, good long").groupBy("token").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = keep(taught.mapInArrow(_count_tokens, "token long, bad long, good long").groupBy("token").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "toxic-counts")
     totals = counts.agg(F.sum("bad"), F.sum("good")).first()
     if not totals[0] or not totals[1]:
         share = sample.agg(F.avg("toxic")).first()[0]
@@ -218,6 +224,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS, id
     shape = "n long, best double, evidence double, toxic int"
     clean = fresh.filter("toxic = 0").mapInArrow(measure, shape).agg(F.count(F.lit(1)), F.sum(F.expr(f"n * exp(-{m.decay!r} * best)"))).first()
     m.rate = float(clean[0] / max(clean[1], 1e-9))  # maximum likelihood of the extreme-value law's K
+    # Which segments are significant depends on the rate, so the evidence takes a pass of its own.
     seen = fresh.mapInArrow(measure, shape).select("evidence", "toxic").toPandas()  # at most `most` rows of two numbers
     m.slope, m.intercept = _fit_logistic(np.sqrt(seen["evidence"].to_numpy(dtype=float)), seen["toxic"].to_numpy(dtype=float))
     return m
