@@ -12,9 +12,15 @@ from its piece to pairs, fours and so on with that budget, and only what survive
 compared as a whole with budget e.  No match is lost.
 
 The items are a stated query set.  They are read in blocks of at most BLOCK_CHARS
-characters, each sent to the executors and run over all whole texts.  Items of fewer than
-LEAST_WORDS words say nothing about contamination and are skipped, as are null items; null
-and empty texts hold no item.  Repeated rows are found each; repeated items once.
+characters, each sent to the executors and run over all whole texts.  An item of fewer than
+LEAST_WORDS words has no error budget and must stand between word ends; it is found and
+reported like any other, but a document that holds only such an item is not thrown out by
+`decontaminate`, as clean text holds phrases that short.  Null items and items without words
+are found nowhere; null and empty texts hold no item.  Repeated rows are found each; repeated
+items once, items that share an id each with the least distance of them.  Of equally good
+matches the first counts.  A very long text takes about ten times its size of memory.  Only
+the named columns are read, or the others travel as one struct; their names cannot clash.
+Ids must be integers.
 """
 
 from __future__ import annotations
@@ -69,7 +75,8 @@ class Item:
 
     def __init__(self, item_id: int, text: str, rate: float = RATE):
         self.id, self.text = item_id, text
-        self.budget = int(len(text) * rate + 1e-9)
+        self.short = text.count(" ") + 1 < LEAST_WORDS
+        self.budget = 0 if self.short else int(len(text) * rate + 1e-9)
         n = self.budget + 1
         self.cuts = [len(text) * i // n for i in range(n + 1)]
         self._groups: dict[tuple[int, int], tuple[dict[str, int], int]] = {}
@@ -86,6 +93,9 @@ class Item:
 
     def verify(self, piece: int, begin: int, text: str) -> tuple[int, int, int] | None:
         """(distance, search start, end) if the piece's hit at `begin` extends to the whole item within the budget."""
+        if self.short:
+            end = begin + len(self.text)
+            return (0, begin, end) if f" {text[max(0, begin - 1) : end + 1]} ".find(f" {self.text} ") >= 0 else None
         n, width = self.budget + 1, 2
         start = begin - self.cuts[piece]  # where the item would begin without edits
         other = piece ^ 1
@@ -145,13 +155,14 @@ class Matcher:
         return found
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, most: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
-    """The usable items, in blocks of at most `most` characters; one block at a time is on the driver."""
+def item_blocks(items: DataFrame, id_col: str, text_col: str, least_words: int = 1, most: int | None = None) -> Iterator[list[tuple[int, str]]]:
+    """The items of at least so many words, in blocks of at most `most` characters; one block at a time is on the driver."""
+    most = most or BLOCK_CHARS
     block: list[tuple[int, str]] = []
     size = 0
     for row in items.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).filter(F.col(id_col).isNotNull()).distinct().toLocalIterator():
         text = normalised(row[1])
-        if text.count(" ") + 1 < LEAST_WORDS:
+        if text.count(" ") + 1 < least_words or not text:
             continue
         if block and size + len(text) > most:
             yield block
@@ -183,12 +194,12 @@ def find_items(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: st
     return found if found is not None else spark.createDataFrame([], schema)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
-    """docs without the rows that hold an item; rows are dropped where they lie, without a join."""
+def decontaminate(docs: DataFrame, items: DataFrame, rate: float = RATE, least_words: int = LEAST_WORDS) -> DataFrame:
+    """docs without the rows that hold an item of at least so many words; rows are dropped where they lie, without a join."""
     spark = docs.sparkSession
     rows = packed(docs, "text")
     schema = rows.schema
-    for block in item_blocks(items, "item_id", "text"):
+    for block in item_blocks(items, "item_id", "text", least_words):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
