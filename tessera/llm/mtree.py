@@ -4,36 +4,47 @@ Inner products are no metric, so every vector x gets one more component
 sqrt(M - |x|^2), M the largest squared norm of its tree, and a query q gets 0; then
 d(q, x)^2 = |q|^2 + M - 2 q.x, and the nearest vectors are those of the largest products.
 
-Rows are dealt into blocks by hash of the id; each block builds one tree of paged nodes.
-An inner entry has a routing vector, a covering radius and its distance to the parent's
-routing vector; a leaf entry has that distance too.  A search takes the node of least
-lower bound d(q, o) - radius first; the queries of a block share the queue.  Within a page, entries whose stored parent distance
-already rules them out (|d(q, parent) - d(entry, parent)| - radius beyond the k-th
-distance) are skipped without computing their distance.  Equal bounds are followed, so
-ties are complete.  Equal vectors share one entry, which lists the smallest k + 1 ids of
-them: no query needs more.
-
-Every block of queries searches every tree, and the trees' best k are merged by query.
-Products are exact integers: doubles hold them up to 2^53.
+Rows are dealt into blocks by hash of the id; each block builds one tree of paged nodes,
+once, and the trees are written as a table of one row each.  An inner entry has a routing
+vector, a covering radius and its distance to the parent's routing vector; a leaf entry has
+that distance too.  A search takes the node of least lower bound d(q, o) - radius first; the
+queries of a block share the queue.  Within a page, entries whose stored parent distance
+already rules them out (|d(q, parent) - d(entry, parent)| - radius beyond the k-th distance)
+are skipped without computing their distance.  Equal bounds are followed, so ties are
+complete.  Equal vectors share one entry, which lists the smallest k + 1 ids of them: no query
+needs more.
+
+The queries are sent to the trees, in blocks of at most QUERY_ROWS and QUERY_BYTES; a task
+takes its trees one after another, and what it has found so far bounds the search of the next.
+A block of queries is therefore one pass over the table of trees without a shuffle; only each
+task's best k of a query are dealt by query and merged.  Products are exact integers: doubles
+hold them up to 2^53.
 
 Vectors that are null or hold null or non-finite components take no part, nor do null
 ids.  Rows that repeat an id count once, with the smallest vector.  A shorter vector is
-filled up with zeros.  An empty table gives an empty result.
+filled up with zeros.  Columns other than the two named are not read.  An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
 import itertools
+import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import materialise, partitions
 
-PAGE, FANOUT, BLOCK_ROWS, QUERY_ROWS = 128, 32, 1 << 15, 512
+PAGE, FANOUT, BLOCK_ROWS = 128, 32, 1 << 15
+#: Bounds of a block of queries that is broadcast.
+QUERY_ROWS, QUERY_BYTES = 1 << 15, 32 << 20
+#: Queries that share a queue.
+TOGETHER = 512
 SLACK = 1e-6
 
 
@@ -77,16 +88,16 @@ class MTree:
         self.nodes.append((centres[used], up, radii, children))
         return len(self.nodes) - 1
 
-    def search(self, queries: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    def search(self, queries: np.ndarray, own: np.ndarray, held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         """(query number, score, id) of the k best of every query, ties to the smaller id; and the number of distances computed.
 
-        The queries share one queue: a node's bound is the least of those of the queries
+        held: what other trees have given, which counts among the best.  The queries share one queue: a node's bound is the least of those of the queries
         that may still need it, and a page is computed for just these queries at once.
         """
         n = len(queries)
         reference = (queries**2).sum(axis=1) + self.top
         worst, reach = np.full(n, -np.inf), np.full(n, np.inf)
-        held = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        held = held or (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
         pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         waiting = computed = 0
 
@@ -102,6 +113,8 @@ class MTree:
             reach[who[last]] = np.sqrt(np.maximum(reference[who[last]] - 2 * score[last], 0.0))
             held, pending, waiting = (who[keep], score[keep], ids[keep]), [], 0
 
+        if len(held[0]):
+            settle()
         order = itertools.count()
         queue = [(0.0, next(order), self.root, np.zeros(n), np.zeros(n))] if self.root >= 0 else []
         while queue:
@@ -152,46 +165,88 @@ def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return ids, out
 
 
-def _pack_block(t: pa.Table) -> pa.Table:
-    """One block of vectors as one row, in the smallest integers that hold it."""
-    ids, x = _matrix(t)
-    kind = next((k for k in ("int8", "int16", "int32") if not x.size or (x.min() >= np.iinfo(k).min and x.max() <= np.iinfo(k).max)), "int64")
-    return pa.table({"block": pa.array([t.column("block")[0].as_py()], pa.int32()), "n": pa.array([len(ids)], pa.int32()), "kind": pa.array([kind]), "ids": pa.array([ids.tobytes()], pa.binary()), "data": pa.array([x.astype(kind).tobytes()], pa.binary())})
+TREE = "block int, tree binary"
+
+
+def _grow_block(k: int):
+    """The tree of one block of vectors, as one row."""
+
+    def run(t: pa.Table) -> pa.Table:
+        tree = MTree(*_matrix(t), k)
+        kind = next((c for c in ("int8", "int16", "int32") if not tree.x.size or (tree.x.min() >= np.iinfo(c).min and tree.x.max() <= np.iinfo(c).max)), "int64")
+        tree.x, tree.rng = tree.x.astype(kind), None
+        return pa.table({"block": pa.array([t.column("block")[0].as_py()], pa.int32()), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+
+    return run
 
 
-BLOCK = "block int, n int, kind string, ids binary, data binary"
 FOUND = "query_id long, vec_id long, score long"
 
 
-def _search(k: int):
-    def run(queries: pa.Table, blocks: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 3]
-        for row in blocks.to_pylist() if queries.num_rows else []:
-            ids, q = _matrix(queries)
-            x = np.frombuffer(row["data"], row["kind"]).reshape(row["n"], -1).astype(float)
-            wide = max(q.shape[1], x.shape[1])
-            q, x = (np.pad(m, ((0, 0), (0, wide - m.shape[1]))) for m in (q, x))
-            tree = MTree(np.frombuffer(row["ids"], np.int64), x, k)
-            who, score, found, _ = tree.search(q, ids)
-            out.append((ids[who], found, score))
-        return pa.table({name: np.concatenate(c).astype(np.int64) for name, c in zip(("query_id", "vec_id", "score"), zip(*out, strict=True), strict=True)})
+def _search(shared, k: int):
+    """The k best of every query of the block in the trees of this task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, queries = shared.value
+        parts = [slice(i, i + TOGETHER) for i in range(0, len(own), TOGETHER)]
+        best: list = [None] * len(parts)
+        for batch in batches:
+            for row in batch.column("tree"):
+                tree = pickle.loads(row.as_buffer())
+                tree.x = tree.x.astype(float)
+                wide = max(queries.shape[1], tree.x.shape[1])
+                tree.x = np.pad(tree.x, ((0, 0), (0, wide - tree.x.shape[1])))
+                for n, part in enumerate(parts):
+                    q = queries[part].astype(float)
+                    *best[n], _ = tree.search(np.pad(q, ((0, 0), (0, wide - q.shape[1]))), own[part], best[n])
+        for part, found in zip(parts, best, strict=True):
+            if found is not None:
+                who, score, ids = found
+                yield pa.RecordBatch.from_arrays([pa.array(own[part][who].astype(np.int64)), pa.array(ids.astype(np.int64)), pa.array(score.astype(np.int64))], names=["query_id", "vec_id", "score"])
 
     return run
 
 
+def query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of the queries, in blocks; one block at a time is on the driver."""
+    ids: list[int] = []
+    rows: list[list[int]] = []
+
+    def block() -> tuple[np.ndarray, np.ndarray]:
+        out = np.zeros((len(rows), max(map(len, rows))), dtype=np.int64)
+        for i, r in enumerate(rows):
+            out[i, : len(r)] = r
+        return np.array(ids, dtype=np.int64), out
+
+    widest = 0
+    for row in queries.select("vec_id", "x").toLocalIterator(prefetchPartitions=True):
+        ids.append(row[0])
+        rows.append(row[1])
+        widest = max(widest, len(row[1]))
+        if len(rows) >= QUERY_ROWS or 8 * widest * len(rows) >= QUERY_BYTES:
+            yield block()
+            ids, rows, widest = [], [], 0
+    if rows:
+        yield block()
+
+
 def top_k(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "x") -> DataFrame:
     """query_id, rank, vec_id, score for all rows of vectors (integer components) where is_query holds."""
+    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<long>").alias("x")).filter(F.col("vec_id").isNotNull())
     rows = materialise(rows.groupBy("vec_id").agg(F.min("x").alias("x")), "vectors")
-    n, asked = rows.agg(F.count(F.lit(1)), F.count(F.when(is_query(F.col("vec_id")), 1))).first()
-    blocks, parts = max(1, -(-n // BLOCK_ROWS)), max(1, -(-asked // QUERY_ROWS))
-    deal = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
-    packed = rows.withColumn("block", deal(blocks)).groupBy("block").applyInArrow(_pack_block, BLOCK)
-    packed = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))  # every block of queries against every block of rows
-    queries = rows.filter(is_query(F.col("vec_id"))).withColumn("part", deal(parts))
-    queries = queries.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = queries.groupBy("part", F.col("b").alias("block")).cogroup(packed.groupBy("part", "block")).applyInArrow(_search(k), FOUND)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # at most k rows of each block
+    n = rows.count()
+    # Every core gets trees; more than BLOCK_ROWS rows in one would not make its search better.
+    blocks = max(1, -(-n // BLOCK_ROWS), min(2 * partitions(spark), n // 1024))
+    trees = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(_grow_block(k), TREE)
+    trees = materialise(trees, "trees").repartition(max(1, min(blocks, 4 * partitions(spark))), "block")
+    found = None
+    for block in query_blocks(rows.filter(is_query(F.col("vec_id")))):
+        part = materialise(trees.mapInArrow(_search(spark.sparkContext.broadcast(block), k), FOUND), "nearest")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], FOUND)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # at most k rows of each task
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
