@@ -10,6 +10,11 @@ ordered by checksum, size and input position, so repeated rows spread over
 partitions and every row keeps its own slot.  Null texts have size 8 (no bytes) and
 checksum 0; null ids sort first.  An empty table gives an empty result.  A document
 larger than a shard's target may leave a neighbouring shard empty.
+
+Under the law `bytes` only the sizes decide: equal texts are a group with one checksum, and a
+group lies wherever its rows fall on the byte line, since a group of a third of all bytes kept
+together could not fit shards of near equal size.  Only id and text are read, so the names of
+other columns cannot clash; ids must be integers.
 """
 
 from __future__ import annotations
