@@ -4,18 +4,21 @@ A text is cut into pieces with array operations that give the same cuts as the
 tokenizers' pattern.  Distinct pieces of a slice are encoded once: pieces of similar
 byte length form a padded matrix of token ids; every round each row merges its leftmost
 pair of minimum rank, found by a hashed pair lookup, and the matrix is compacted (one
-column fewer, finished rows leave).  Pieces over LONG_PIECE bytes, for which a round over
-the whole row would be quadratic, use a heap with the same order of merges.
+column fewer, finished rows leave).  A piece over LONG_PIECE bytes is a row of its own, in
+which a round merges, from the left, all pairs of the minimum rank up to the first merge that
+makes a pair of lower rank: just those that single merges would take next.  Its columns lie in
+blocks of BLOCK columns with their least rank each, and a round touches only the blocks that
+hold the minimum.
 
 A null text is empty; an empty text has no ids and decodes to no bytes.  Other columns
 are not read, so clashing names do not matter.  Repeated rows and null ids each keep
-their row; an empty table gives an empty result.
+their row; an empty table gives an empty result.  A text is encoded as a whole, so a very
+long one takes about 60 times its size of memory.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +31,7 @@ from ._common import documents
 from ._text import hash_spans, mix, slices, utf8
 
 NONE = np.iinfo(np.int32).max
-LONG_PIECE = 2048
+LONG_PIECE, BLOCK = 2048, 512
 #: Bytes of text encoded at a time; the arrays take about 60 times as much memory.
 SLICE = 1 << 20
 OTHER, LETTER, NUMBER, WHITE = 0, 1, 2, 3
@@ -189,33 +192,53 @@ def merge_rows(v: Vocabulary, ids: np.ndarray, lens: np.ndarray) -> tuple[np.nda
 
 
 def _merge_long(v: Vocabulary, piece: np.ndarray) -> np.ndarray:
-    """The same merges for one long piece: a heap of (rank, position) over a linked list."""
-    ids = v.byte_ids[piece].tolist()
+    """The same merges for one long piece, many a round."""
+    ids = v.byte_ids[piece].astype(np.int64)
     n = len(ids)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    current = _lookup(v, np.array(ids[:-1], dtype=np.int64), np.array(ids[1:], dtype=np.int64)).tolist() + [NONE]
-    heap = [(r, i) for i, r in enumerate(current) if r != NONE]
-    heapq.heapify(heap)
-
-    def renew(i: int) -> None:
-        j = after[i]
-        current[i] = NONE if j >= n else int(_lookup(v, np.array([ids[i]]), np.array([ids[j]]))[0])
-        if current[i] != NONE:
-            heapq.heappush(heap, (current[i], i))
-
-    while heap:
-        r, i = heapq.heappop(heap)
-        if ids[i] < 0 or current[i] != r:
-            continue
-        j = after[i]
-        ids[i], ids[j], current[j] = r, -1, NONE
-        after[i] = after[j]
-        if after[i] < n:
-            before[after[i]] = i
-        renew(i)
-        if before[i] >= 0:
-            renew(before[i])
-    return np.array([x for x in ids if x >= 0], dtype=np.int32)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)  # neighbours among the columns still in use
+    rank = np.full(-(-n // BLOCK) * BLOCK, NONE, dtype=np.int64)
+    rank[: n - 1] = _lookup(v, ids[:-1], ids[1:])
+    blocks = rank.reshape(-1, BLOCK)
+    least = blocks.min(axis=1)
+
+    def joined(a: np.ndarray, b: np.ndarray, ok: np.ndarray) -> np.ndarray:
+        out = np.full(len(ok), NONE, dtype=np.int64)
+        out[ok] = _lookup(v, a[ok], b[ok])
+        return out
+
+    while (r := int(least.min())) != NONE:
+        # The pairs of that rank; of a chain that overlaps, every second one.
+        where = np.flatnonzero(least == r)
+        row, column = np.nonzero(blocks[where] == r)
+        at = where[row] * BLOCK + column
+        chained = np.zeros(len(at), dtype=bool)
+        chained[1:] = after[at[:-1]] == at[1:]
+        heads = np.flatnonzero(~chained)
+        at = at[(np.arange(len(at)) - np.repeat(heads, np.diff(np.append(heads, len(at))))) % 2 == 0]
+        right = after[at]  # the second column of each pair
+        follow, lead = np.where(right < n, after[np.minimum(right, n - 1)], n), before[at]
+        # What stands to the left once the merges before this one are done.
+        left_id = np.where(lead >= 0, ids[lead], -1)
+        touching = np.zeros(len(at), dtype=bool)
+        touching[1:] = right[:-1] == lead[1:]
+        left_id[touching] = r
+        made = np.full(len(at), r, dtype=np.int64)
+        low = np.minimum(joined(left_id, made, lead >= 0), joined(made, ids[np.minimum(follow, n - 1)], follow < n))
+        stop = np.flatnonzero(low < r)
+        if len(stop):
+            keep = slice(0, int(stop[0]) + 1)
+            at, right, follow = at[keep], right[keep], follow[keep]
+        ids[at], ids[right] = r, -1
+        after[at] = follow
+        inside = follow < n
+        before[follow[inside]] = at[inside]
+        changed = np.unique(np.concatenate([at, before[at][before[at] >= 0]]))
+        next_ = after[changed]
+        rank[right] = NONE
+        rank[changed] = joined(ids[changed], ids[np.minimum(next_, n - 1)], next_ < n)
+        dirty = np.unique(np.concatenate([changed, right]) // BLOCK)
+        least[dirty] = blocks[dirty].min(axis=1)
+    return ids[ids >= 0].astype(np.int32)
 
 
 def _ragged(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -48,6 +48,25 @@ def test_long_piece_equals_matrix(vocabulary):
     assert bpe._merge_long(vocabulary, piece).tolist() == ids.tolist() and len(ids) == n[0]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_long_pieces_match_the_library(vocabulary, reference, seed):
+    rng = random.Random(seed)
+    letters = ["ab", "the and of", "etaoinshrdlu", "etaoinéß日本語"][seed].replace(" ", "")
+    for n in (2049, 30_000):
+        t = "".join(rng.choice(letters) for _ in range(n))
+        t = t if seed != 1 else "".join(rng.choice(["the", "and", "of", "ing", "aaaaaaa"]) for _ in range(n // 3))
+        assert bpe._merge_long(vocabulary, np.frombuffer(t.encode(), np.uint8)).tolist() == reference.encode_ordinary(t)
+
+
+def test_a_piece_of_five_megabytes(vocabulary):
+    rng = np.random.default_rng(5)
+    piece = rng.choice(np.frombuffer(b"etaoinshrdlucmfwypvbgkjqxz", np.uint8), 5 << 20)
+    ids = bpe._merge_long(vocabulary, piece)
+    assert bpe._decoded(vocabulary.tokens, ids) == piece.tobytes() and len(ids) < len(piece) // 1.5
+    # No pair is left that could still merge.
+    assert (bpe._lookup(vocabulary, ids[:-1].astype(np.int64), ids[1:].astype(np.int64)) == bpe.NONE).all()
+
+
 def test_query_rows(spark, reference):
     rows = [(1, "Hello world's end", "x"), (2, None, "y"), (3, "", "z"), (3, "", "z"), (None, "tie", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
