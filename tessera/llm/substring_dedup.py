@@ -17,8 +17,13 @@ most one entry per window and slice, however many documents share it.  Fingerpri
 as sorted deltas in byte planes.  Repeats go back as one blob per bucket and chunk of
 documents, and every chunk's texts are cut with its own blobs.
 
+An index can be saved and opened again, so that a later session goes on with the next batch.
+
 Null and empty texts have no words.  Documents of fewer than `width` words keep all.  Rows
-of one id never make each other repeats.  A null id is smaller than any other.
+of one id are one document and never make each other repeats; they meet in one chunk.  Rows
+without an id make nothing a repeat and keep all words.  Ids must be integers.  A very long
+text takes about ten times its size of memory.  The other columns of docs travel as one
+struct, so their names cannot clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,9 +36,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import delete_path, documents, packed, partitions, read_table, write_table
-from ._text import hash_spans, mix, slices, utf8, windows, words
+from ._text import hashed_words, mix, slices, utf8, windows
 
 WIDTH, BATCHES, MOST_RUNS = 13, 4, 2
+#: Stands for a missing id where texts are cut; no repeat carries it.
 NO_ID = -(2**63)
 BUCKET_BYTES = 16 << 20
 #: Bytes of text fingerprinted at a time; the arrays take about 40 times as much memory.
@@ -72,9 +78,9 @@ def spark_hash(ids: np.ndarray) -> np.ndarray:
 
 def _marks(buf: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
     """Of every window: first word, text number, bucket hash, token (32-bit key, 32-bit check); and the words."""
-    starts, lens, doc = words(buf, offsets)
-    first, w = windows(hash_spans(buf, starts, lens), doc, width)
-    _, check = windows(hash_spans(buf, starts, lens, 1), doc, width, 1)
+    starts, lens, doc, (h1, h2) = hashed_words(buf, offsets, seeds=(0, 1))
+    first, w = windows(h1, doc, width)
+    _, check = windows(h2, doc, width, 1)
     return first, doc[first] if len(first) else first, w >> np.uint64(32), (w << np.uint64(32)) | (check & _LOW), starts, lens, doc
 
 
@@ -175,6 +181,9 @@ def _merge(chunks: int, compact: bool, keep: bool):
     return run
 
 
+META = "buckets int, chunks int, width int, most_runs int, runs int"
+
+
 class FingerprintIndex:
     """The runs of all batches so far."""
 
@@ -207,6 +216,20 @@ class FingerprintIndex:
         self.repeats.append(found)
         return found
 
+    def save(self, path: str) -> None:
+        """Keep the runs and what is needed to go on with them."""
+        self.spark.createDataFrame([(self.buckets, self.chunks, self.width, self.most_runs, len(self.runs))], META).write.parquet(f"{path}/meta")
+        for k, run in enumerate(self.runs):
+            run.write.parquet(f"{path}/run-{k}")
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+        """A saved index; the saved files stay as they are."""
+        *settings, n = spark.read.schema(META).parquet(f"{path}/meta").first()
+        index = cls(spark, *settings)
+        index.runs = [read_table(spark, f"{path}/run-{k}", OUT) for k in range(n)]
+        return index
+
     def close(self) -> None:
         """Delete the runs."""
         for old in self.run_paths:
@@ -251,13 +274,14 @@ def _cut(width: int):
 def dedup_substrings(docs: DataFrame, width: int = WIDTH, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, text (the kept words, joined by blanks), n_words and n_removed of every row of docs."""
     spark = docs.sparkSession
-    id_ = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    id_ = F.col(id_col).cast("long")
     shares = [k / batches for k in range(1, batches)]
-    size, cuts = docs.agg(F.sum(F.octet_length(text_col)), F.percentile_approx(id_, F.array(*map(F.lit, shares)), F.lit(10_000))).first() if shares else (docs.agg(F.sum(F.octet_length(text_col))).first()[0], [])
+    size, *cuts = docs.agg(F.sum(F.octet_length(text_col)), *([F.percentile_approx(id_, F.array(*map(F.lit, shares)), F.lit(10_000))] if shares else [])).first()
+    cuts = (cuts or [None])[0]
     buckets = max(partitions(spark), -(-(size or 0) // BUCKET_BYTES))
     chunks = buckets  # a bucket answers each chunk with one row
     index = FingerprintIndex(spark, buckets, chunks, width)
-    plain = docs.select(id_.alias("id"), F.col(text_col).cast("string").alias("text"))
+    plain = docs.select(id_.alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
     edges = [None, *sorted(set(cuts or [])), None]
     for low, high in zip(edges, edges[1:], strict=False):
         part = plain
@@ -270,7 +294,7 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, batches: int = BATCHES
     repeats = index.repeats[0]
     for r in index.repeats[1:]:
         repeats = repeats.unionByName(r)
-    rows = packed(docs, text_col, id_.alias("id"), F.pmod(F.hash(id_), F.lit(chunks)).alias("chunk"))
+    rows = packed(docs, text_col, F.coalesce(id_, F.lit(NO_ID)).alias("id"), F.pmod(F.hash(F.coalesce(id_, F.xxhash64(F.col(text_col)))), F.lit(chunks)).alias("chunk"))
     return rows.groupBy("chunk").cogroup(repeats.groupBy("chunk")).applyInArrow(_cut(width), f"row {rows.schema['row'].dataType.simpleString()}, text string, n_words long, n_removed long")
 
 

@@ -23,7 +23,7 @@ def substring_dedup(rows, width=13):
     smallest = {}
     for i, t in rows:
         w = words(t)
-        for k in range(len(w) - width + 1):
+        for k in range(len(w) - width + 1) if i is not None else ():
             key = tuple(w[k : k + width])
             smallest[key] = min(smallest.get(key, i), i)
     out = []
@@ -31,7 +31,7 @@ def substring_dedup(rows, width=13):
         w = words(t)
         gone = set()
         for k in range(len(w) - width + 1):
-            if smallest[tuple(w[k : k + width])] < i:
+            if i is not None and smallest[tuple(w[k : k + width])] < i:
                 gone.update(range(k, k + width))
         out.append((i, len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone))))
     return out

@@ -78,10 +78,36 @@ def test_substrings_edges(spark):
     w = " ".join(f"w{i}" for i in range(13))
     docs = spark.createDataFrame([(5, w), (5, w), (None, w), (None, "x"), (6, w + " w13"), (7, w.replace(" ", "\n"))], "doc_id long, text string")
     got = ordered(substring_dedup.dedup_substrings(docs).select("row.doc_id", "n_words", "n_removed").collect())
-    assert got == ordered([(None, 13, 0), (None, 1, 0), (5, 13, 13), (5, 13, 13), (6, 14, 13), (7, 13, 13)])
+    assert got == ordered([(None, 13, 0), (None, 1, 0), (5, 13, 0), (5, 13, 0), (6, 14, 13), (7, 13, 13)])
     assert substring_dedup.dedup_substrings(docs.limit(0)).count() == 0
 
 
+def test_an_index_goes_on_where_it_was_left(spark, tmp_path):
+    rng = random.Random(7)
+    t = lambda: " ".join(f"w{rng.randrange(50)}" for _ in range(40))
+    old, new = [(i, t()) for i in range(20)], []
+    for i in range(20, 40):
+        new.append((i, t() + " " + rng.choice(old)[1] if i % 2 else t()))
+    index = substring_dedup.FingerprintIndex(spark, 4, 4)
+    index.add(spark.createDataFrame(old, "id long, text string"))
+    index.save(str(tmp_path / "index"))
+    index.close()
+    again = substring_dedup.FingerprintIndex.open(spark, str(tmp_path / "index"))
+    found = again.add(spark.createDataFrame(new, "id long, text string"))
+    ids = {int(i) for r in found.collect() for i in np.frombuffer(r.first, np.int64)}
+    assert ids == {r[0] for r in brute.substring_dedup(old + new) if r[2]} == set(range(21, 40, 2))
+
+
+def test_substrings_of_a_very_long_text(spark, monkeypatch):
+    monkeypatch.setattr(_text, "BLOCK", 1 << 10)
+    monkeypatch.setattr(substring_dedup, "SLICE", 1 << 12)
+    rng = random.Random(13)
+    w = [f"w{rng.randrange(9000)}" for _ in range(20_000)]
+    rows = [(2, " ".join(w)), (1, "\n".join(w[5000:5100])), (3, "x" * 50_000 + " " + " ".join(w[19_000:])), (None, " ".join(w))]
+    got = substring_dedup.dedup_substrings(frame(spark, rows)).select("row.doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256)).collect()
+    assert ordered(got) == ordered(brute.substring_dedup(rows))
+
+
 def test_packing():
     v = np.array([0, 1, 255, 256, 2**40, 2**63], dtype=np.uint64)
     assert (substring_dedup.unpack(substring_dedup.pack(v), len(v)) == v).all()
