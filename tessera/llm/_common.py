@@ -35,10 +35,18 @@ def shared_dir(spark: SparkSession) -> str:
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def write_table(df: DataFrame, name: str, partition_by: str | None = None) -> str:
-    """Write df to the shared folder; nothing reads its shuffles again, so they are freed at once."""
+#: Folders of the workspaces that are open, the innermost last.
+_WORKSPACES: list[str] = []
+
+
+def write_table(df: DataFrame, name: str, partition_by: str | None = None, kept: bool = False) -> str:
+    """Write df to the shared folder; nothing reads its shuffles again, so they are freed at once.
+
+    Within a workspace the table goes with it, unless it is to be kept.
+    """
     conf = df.sparkSession.conf
-    path, before = f"{shared_dir(df.sparkSession)}/tessera/{name}-{uuid.uuid4().hex}", conf.get(_FREE_SHUFFLES, None)
+    folder = _WORKSPACES[-1] if _WORKSPACES and not kept else f"{shared_dir(df.sparkSession)}/tessera"
+    path, before = f"{folder}/{name}-{uuid.uuid4().hex}", conf.get(_FREE_SHUFFLES, None)
     conf.set(_FREE_SHUFFLES, "true")
     try:
         (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
@@ -63,6 +71,16 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def workspace(spark: SparkSession):
+    """What operators write within goes at the end; by then their result must have been written."""
+    _WORKSPACES.append(f"{shared_dir(spark)}/tessera/work-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        delete_path(spark, _WORKSPACES.pop())
+
+
 @contextmanager
 def scratch(spark: SparkSession):
     """A materialise() whose tables are deleted at the end."""
