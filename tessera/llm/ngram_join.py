@@ -513,14 +513,16 @@ def _between_components(court: DataFrame, found: DataFrame, chunk, buckets: int,
     """Candidate pairs u < v of one court and different components."""
     row = _placed(court.drop("linked"), found)
     # The least difference within a court, and the least among the components other than that one's.
-    nearest = row.groupBy("centre", "component").agg(F.min("d").alias("d"), F.max("size").alias("size"))
+    nearest = row.filter("d > 0").groupBy("centre", "component").agg(F.min("d").alias("d"), F.max("size").alias("size"))
     first = nearest.groupBy("centre").agg(F.min(F.struct("d", "component")).alias("first"), F.max("size").alias("largest"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").drop("low", "high")
     second = nearest.join(first, "centre").filter(F.col("component") != F.col("first.component")).groupBy("centre").agg(F.min("d").alias("second"))
     bounds = put(first.join(second, "centre").select("centre", "first", "second", "largest"), "bounds")
     row = row.join(bounds, "centre")
     partner = F.when(F.col("component") == F.col("first.component"), F.col("second")).otherwise(F.col("first.d"))
-    # 2 t >= |D(x)| + |D(y)| - (a + b) / 7, with the least |D(y)| and the largest b that a partner may have.
-    over = F.col("d") + partner - F.floor((F.col("size") + F.least("largest", F.floor(F.col("size") * DEN / NUM))) / (NUM + DEN))
+    # 2 t >= |D(x)| + |D(y)| - (a + b) / 7, with the largest b and the least |D(y)| that a partner may have;
+    # as the differences have at most |D(y)| elements in common, |D(y)| >= |D(x)| - (a + b) / 7.
+    most = F.floor((F.col("size") + F.least("largest", F.floor(F.col("size") * DEN / NUM))) / (NUM + DEN))
+    over = F.col("d") + F.greatest(partner, F.col("d") - most) - most
     row = row.withColumn("need", F.col("d") + 1 - F.greatest(F.lit(1), F.ceil(over / 2))).filter("need > 0")
     row = put(row.select(chunk("centre", "node"), "centre", "node", "component", "size", "d", "need", F.col("delta").alias("blob")), "placed")
     shared = row.groupBy("chunk").applyInArrow(_held_by(buckets), HELD).groupBy("bucket").applyInArrow(_sum_components(True), SHARED)
