@@ -30,12 +30,16 @@ def block_count(records: int, layout: Layout, block_size: int) -> int:
 
 def distinct_counts(df: DataFrame, exact: bool = False, rsd: float = RSD) -> DataFrame:
     """One row with the number of distinct values of every column."""
+    return df.agg(*_counts(df, exact, rsd))
+
+
+def _counts(df: DataFrame, exact: bool, rsd: float = RSD) -> list:
     count = F.count_distinct if exact else lambda c: F.approx_count_distinct(c, rsd)
-    return df.agg(*[count(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    return [count(F.col(f"`{c}`")).alias(c) for c in df.columns]
 
 
 def statistics(df: DataFrame, layout: Layout, block_size: int, exact: bool = False) -> Statistics:
-    """One pass over the table; the result is one row."""
+    """One aggregate over the table; the result is one row."""
     names = [f"v{i}" for i in range(len(df.columns))]
-    row = distinct_counts(df.toDF(*names), exact).crossJoin(df.agg(F.count(F.lit(1)).alias("records"))).first()
+    row = df.toDF(*names).agg(F.count(F.lit(1)).alias("records"), *_counts(df.toDF(*names), exact)).first()
     return Statistics(row["records"], block_count(row["records"], layout, block_size), {c: row[n] for c, n in zip(df.columns, names, strict=True)})

@@ -27,7 +27,15 @@ def _fits(table: Table, schema: T.StructType, name: str, value: int | str) -> No
 
 
 def next_version(table: Table, df: DataFrame) -> Table:
-    return replace(table, load=lambda: df, version=table.version + 1, depth=table.depth + 1, path=None)
+    return replace(table, load=lambda: df, version=table.version + 1, depth=table.depth + 1, folders=(), added=None)
+
+
+def with_rows(table: Table, new: DataFrame) -> Table:
+    """The next version has further rows; what was committed before stays where it is."""
+    out = next_version(table, table.load().union(new))
+    if table.folders:
+        out = replace(out, folders=table.folders, added=new if table.added is None else table.added.union(new))
+    return out
 
 
 def insert(spark: SparkSession, table: Table, statement: ast.Insert) -> tuple[Table, int]:
@@ -41,7 +49,7 @@ def insert(spark: SparkSession, table: Table, statement: ast.Insert) -> tuple[Ta
     defaults = {"int": 0, "string": ""}
     row = [given.get(f.name, defaults.get(class_of(f.dataType))) for f in old.schema.fields]
     new = spark.createDataFrame([tuple(row)], T.StructType([T.StructField(f.name, f.dataType, True) for f in old.schema.fields]))
-    return next_version(table, old.union(new)), 1
+    return with_rows(table, new), 1
 
 
 def _matching(df: DataFrame, predicate: ast.Predicate):

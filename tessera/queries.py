@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import EngineError
 from .functions.statistics import RSD, distinct_counts
-from .operators.hash_join import hash_join
+from .operators.hash_join import hash_join, partition
 from .operators.ordered_map import OrderedMap
+from .operators.row_ids import RID, at_rid, with_rids
 from .plans import cost
 from .plans.parser import parse_predicate
 from .session import Engine
@@ -189,9 +193,12 @@ def _ndv(spark: SparkSession, folder: str) -> DataFrame:
     return distinct_counts(_table(spark, folder, "orders").select("o_custkey", "o_orderstatus"), exact=True)
 
 
-@_query("stats_ndv_hll")
+@_query("stats_ndv_hll", "SELECT true AS o_custkey, true AS o_orderstatus")
 def _hll(spark: SparkSession, folder: str) -> DataFrame:
-    return distinct_counts(_table(spark, folder, "orders").select("o_custkey", "o_orderstatus"), rsd=RSD)
+    """Whether the sketch is within 3 % of the exact count; its standard error is RSD."""
+    orders = _table(spark, folder, "orders").select("o_custkey", "o_orderstatus")
+    near = lambda c: F.abs(F.approx_count_distinct(c, RSD) - F.count_distinct(c)) <= 0.03 * F.count_distinct(c)
+    return orders.agg(*[near(c).alias(c) for c in orders.columns])
 
 
 @_query("stats_blocks", "SELECT CAST(ceil(count(*) / 16.0) AS BIGINT) AS blocks FROM lineitem")
@@ -228,5 +235,83 @@ def _plan_cost(spark: SparkSession, folder: str) -> DataFrame:
     return plan.filter("kind <> 'table'").select("kind", "blocks", "records", F.round("cost", 3).alias("cost"))
 
 
+@_query("plan_index_cost", """
+WITH n AS (SELECT count(*) AS r, CAST(ceil(count(*) / 12.0) AS BIGINT) // 100 AS b, count(*) // count(DISTINCT n_regionkey) AS k FROM nation)
+SELECT 'index' AS kind, b AS blocks, k AS records, CAST(b + k * 0.2 AS DOUBLE) AS cost FROM n
+UNION ALL SELECT 'select', b, k, CAST(2 * (b + k * 0.2) AS DOUBLE) FROM n UNION ALL SELECT 'project', b, k, CAST(3 * (b + k * 0.2) AS DOUBLE) FROM n
+""")
+def _plan_index(spark: SparkSession, folder: str) -> DataFrame:
+    engine = Engine(spark, block_size=400).register_folder(folder, "nation")
+    engine.execute("create index by_region on nation (n_regionkey)")
+    plan = engine.plan_frame("select n_name from nation where n_regionkey = 1", exact=True)
+    return plan.select("kind", "blocks", "records", F.round("cost", 3).alias("cost"))
+
+
+@_query("plan_table_cost", "SELECT CAST(ceil(count(*) / 12.0) AS BIGINT) AS blocks, count(*) AS records, CAST(ceil(count(*) / 12.0) + count(*) * 0.2 AS DOUBLE) AS cost FROM nation")
+def _plan_table(spark: SparkSession, folder: str) -> DataFrame:
+    engine = Engine(spark, block_size=400).register_folder(folder, "nation")
+    return engine.plan_frame("select n_name from nation", exact=True).filter("kind = 'table'").select("blocks", "records", F.round("cost", 3).alias("cost"))
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A folder of its own below the one that all executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="tessera-")
+    return f"{root.rstrip('/')}/engine-{uuid.uuid4().hex}"
+
+
+@_query("insert_delta", "SELECT i AS a, concat('v', i) AS b, CAST(6 AS BIGINT) AS folders FROM range(5) t(i)")
+def _insert_delta(spark: SparkSession, folder: str) -> DataFrame:
+    """Each commit of an insert adds a folder of its rows; a later session reads them all."""
+    root = _scratch(spark)
+    engine = Engine(spark, root)
+    engine.execute("create table t (a int, b varchar(9))")
+    for i in range(5):
+        engine.execute(f'insert into t (a, b) values ({i}, "v{i}")')
+    again = Engine(spark, root)
+    return again.table("t").withColumn("folders", F.lit(len(again.catalog.tables["t"].folders)).cast("bigint"))
+
+
+@_query("log_recovered", "SELECT CAST(3 AS BIGINT) AS txnum, 'SETINT' AS op, '7' AS value UNION ALL SELECT 3, 'ROLLBACK', NULL UNION ALL SELECT 3, 'START', NULL")
+def _log_recovered(spark: SparkSession, folder: str) -> DataFrame:
+    """What a session leaves open is in the log that the next one opens, which rolls it back."""
+    root = _scratch(spark)
+    engine = Engine(spark, root)
+    engine.execute("create table t (a int)")
+    engine.execute("insert into t (a) values (6)")
+    engine.begin().execute("insert into t (a) values (7)")
+    again = Engine(spark, root)
+    if again.recover() != [3] or again.table("t").count() != 1:
+        raise EngineError("recovery went wrong")
+    return again.log.frame(spark).filter("txnum = 3").select("txnum", "op", "value")
+
+
+@_query("index_pruned", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 7")
+def _index_pruned(spark: SparkSession, folder: str) -> DataFrame:
+    engine = Engine(spark, _scratch(spark))
+    engine.register("orders", _table(spark, folder, "orders").select("o_orderkey", "o_custkey"))
+    engine.execute("create index by_customer on orders (o_custkey)")
+    engine.build_index("by_customer")
+    return engine.lookup("by_customer", 7)
+
+
+@_query("row_ids", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey = 7")
+def _row_ids(spark: SparkSession, folder: str) -> DataFrame:
+    nation = _table(spark, folder, "nation").select("n_nationkey", "n_name")
+    rid = with_rids(nation).filter("n_nationkey = 7").select(f"{RID}.*").first()
+    return at_rid(nation, rid.file, rid.row)
+
+
+@_query("partition_by_key", "SELECT CAST(sum(n) AS BIGINT) AS records, CAST(max(keys) AS BIGINT) AS keys, CAST(1 AS BIGINT) AS buckets_of_a_key FROM (SELECT count(*) AS n, (SELECT count(DISTINCT o_custkey) FROM orders) AS keys FROM orders)")
+def _partition_by_key(spark: SparkSession, folder: str) -> DataFrame:
+    """All rows of a key lie in one partition."""
+    dealt = partition(_table(spark, folder, "orders").select("o_custkey"), 8, "o_custkey").withColumn("bucket", F.spark_partition_id())
+    of = dealt.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("bucket").alias("b"))
+    return of.agg(F.sum("n").alias("records"), F.count(F.lit(1)).alias("keys"), F.max("b").alias("buckets_of_a_key"))
+
+
 def entry(spark: SparkSession, folder: str = "/root/testdata/sf0.001") -> DataFrame:
     return QUERIES["join_three_way"](spark, folder)

@@ -53,7 +53,8 @@ class Table:
     load: Callable[[], DataFrame] = field(compare=False)
     version: int = 0
     depth: int = 0  # rewrites since the data was last written out
-    path: str | None = None
+    folders: tuple[str, ...] = ()  # committed files that hold the rows, all but the added ones
+    added: DataFrame | None = field(default=None, compare=False)
 
     @property
     def layout(self) -> Layout:
