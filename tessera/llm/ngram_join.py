@@ -73,7 +73,8 @@ SHINGLE = 5
 NUM, DEN = 3, 4
 #: Signatures of a set and band in the first pass.
 SKETCH = 6
-BUCKET_BYTES = 16 << 20
+#: Bytes of text to a bucket of elements, and to a chunk of documents.
+BUCKET_BYTES, CHUNK_BYTES = 16 << 20, 4 << 20
 #: Rows without an id get one from here on, by their text; so such classes come after all others.
 NO_ID = 1 << 62
 _KEY = np.uint64((1 << 40) - 1)
@@ -544,12 +545,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tables = _Tables(spark)
     put = tables.put
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    buckets = max(partitions(spark), -(-size // BUCKET_BYTES))
-    chunk = lambda *c: F.pmod(F.xxhash64(*c), F.lit(4 * buckets)).cast("int").alias("chunk")
+    buckets, chunks = max(partitions(spark), -(-size // BUCKET_BYTES)), max(partitions(spark), -(-size // CHUNK_BYTES))
+    chunk = lambda *c: F.pmod(F.xxhash64(*c), F.lit(chunks)).cast("int").alias("chunk")
     text = F.col(text_col).cast("string")
     id_ = _ids(id_col, text_col)
     # By id and text, so that many rows of one id, or of one text, do not meet in one chunk.
-    rows = docs.select(F.pmod(F.xxhash64(id_, text), F.lit(4 * buckets)).cast("int").alias("chunk"), id_.alias("id"), text.alias("text"))
+    rows = docs.select(F.pmod(F.xxhash64(id_, text), F.lit(chunks)).cast("int").alias("chunk"), id_.alias("id"), text.alias("text"))
     counted = rows.groupBy("chunk").applyInArrow(_count_chunk(buckets), COUNTS)
     shared = put(counted.groupBy("bucket").applyInArrow(_sum_bucket, SHARED), "shared")
     signed = rows.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_sign_chunk(buckets), PARTS)
