@@ -154,5 +154,49 @@ def op10_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _oracle() -> str:
+    """The query's rows in DuckDB: what lies between the matches gives their positions.
+
+    RE2 has no lookbehind, so the character before is matched too and taken off again; no
+    match of these rules ends where the next may begin.  Addresses are the exception: they
+    end with their only @, so each part before an @ is asked for one that ends it.
+    """
+    space = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+    apart = r"(?:^|[^A-Za-z0-9])"
+    # kind -> (pattern of the whole match, pattern of a character before it, group whose length counts, its least)
+    kinds = {
+        "assign": ("(" + _either_case("password|passwd|secret|token|api_?key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "", 3, 6),
+        "access": ("AKIA[A-Z0-9]+", "", 1, 20),
+        "hex": ("[0-9a-f]+", "", 1, 24),
+        "pem": ("-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----", "", 1, 1),
+        "github": ("gh[oprsu]_[A-Za-z0-9]{36,}", apart, 1, 1),
+        "slack": ("xox[abprs]-[A-Za-z0-9-]{10,}", apart, 1, 1),
+        "jwt": (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "(?:^|[^A-Za-z0-9_-])", 1, 1),
+    }
+    order = {r.kind: i for i, r in enumerate(RULES + EXTRA)}
+    parts = []
+    for kind, (body, before, group, least) in kinds.items():
+        p = f"{before}({body})".replace("'", "''")
+        parts.append(f"""
+SELECT r, '{kind}' AS kind, {order[kind]} AS ord, list_sum(list_transform(gap[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda y: length(y))), 0) + length(whole[i]) - length(body[i]) AS s,
+  length(body[i]) AS n
+FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM (SELECT r, string_split_regex(x, '{p}') AS gap, regexp_extract_all(x, '{p}') AS whole, regexp_extract_all(x, '{p}', 1) AS body, regexp_extract_all(x, '{p}', {group}) AS counted FROM t))
+WHERE length(counted[i]) >= {least}""")
+    address = rf"(?:^|[^A-Za-z0-9+.-])([A-Za-z][A-Za-z0-9+.-]*://[^{space}:/?#@]*:[^{space}/?#@]+)$"
+    parts.append(f"""
+SELECT r, 'url', {order["url"]}, list_sum(list_transform(seg[1:i], lambda y: length(y) + 1)) - 1 - length(found), length(found) + 1
+FROM (SELECT *, regexp_extract(seg[i], '{address}', 1) AS found FROM (SELECT *, unnest(range(1, len(seg))) AS i FROM (SELECT r, string_split(x, '@') AS seg FROM t)))
+WHERE found <> ''""")
+    base = ", ".join(f"'{k}'" for k in BASE)
+    agg = "string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + n AS BIGINT), ',' ORDER BY s, ord, n)"
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents),
+m AS ({" UNION ALL ".join(parts)}),
+f AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, {agg} FILTER (kind IN ({base})) AS base, {agg} AS spans FROM m GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, upper(sha256(x)) AS blob
+FROM t LEFT JOIN f USING (r)
+"""
+
+
 QUERIES = {"op10_blob_ledger": op10_blob_ledger}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op10_blob_ledger": _oracle()}

@@ -80,5 +80,18 @@ def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: DuckDB has no CRC-32: the table is built by its rule (reflected polynomial 0xEDB88320) and each text's bytes are folded over it.
+_SQL = """
+WITH bits AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS crc_of),
+docs AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+crcs AS (SELECT doc_id, CAST(length(h) // 2 + 8 AS BIGINT) AS size,
+  CAST(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(h, '..'), lambda b: CAST('0x' || b AS BIGINT))), lambda c, b: xor(c >> 8, crc_of[(xor(c, b) & 255) + 1])), 4294967295) AS BIGINT) AS text_crc32 FROM docs, bits),
+line AS (SELECT *, sum(size) OVER w - size AS byte_start, row_number() OVER w AS idx, sum(size) OVER () AS total FROM crcs
+  WINDOW w AS (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+cut AS (SELECT *, CAST((2 * byte_start + size) * 24 // (2 * total) AS INTEGER) AS shard FROM line)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, CAST(idx - min(idx) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, CAST(byte_start AS BIGINT) AS byte_start FROM cut
+"""
+
+
 QUERIES = {"op9_byte_shards": op9_byte_shards}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op9_byte_shards": _SQL}
