@@ -11,7 +11,15 @@ must hold as whole tokens; the rule is filed under the one that the fewest URLs
 table hold.  A URL's tokens fetch the candidate rules, and only those run their regular
 expressions.  Rules without such a token are candidates for every URL.
 
-Null urls and urls without ``://`` have an empty host and path, fit no rule and are
+Rules are a tuple, or a table (verdict, text, site) of any length.  A table is taken in
+blocks of at most BLOCK_BYTES of text: the driver and each task hold one block and its index,
+and the verdicts after one block are written before the next one revises them, so the order of
+the blocks changes nothing.  Equally long site rules that fit one url: the smaller text decides; of
+one text with both verdicts, block.  Rows of the table with a null or empty text, a null site, or a
+verdict other than allow and block (patterns: block) raise an error.
+
+Very long urls are judged whole.  Only id and url are read, so the names of other columns
+cannot clash.  Null urls and urls without ``://`` have an empty host and path, fit no rule and are
 allowed.  Repeated rows keep their own output rows; an empty table gives an empty result.
 """
 
@@ -20,11 +28,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import materialise
+
+#: Text of the rules that one pass over the urls takes.
+BLOCK_BYTES = 8 << 20
 TOKEN = re.compile("[0-9A-Za-z]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -42,6 +55,12 @@ class Rule:
         text = "^" + self.text.replace("/", "^/", 1) if self.site else self.text
         return tuple(m[0] for m in TOKEN.finditer(text) if m.start() > 0 and text[m.start() - 1] != "*" and m.end() < len(text) and text[m.end()] != "*")
 
+    @property
+    def rank(self) -> tuple:
+        """The site rule of least rank decides."""
+        return -len(self.text), self.text, self.verdict != "block"
+
+    @cache  # only rules that are candidates somewhere are ever compiled
     def compiled(self) -> tuple[re.Pattern, re.Pattern | None]:
         if self.site:
             host, slash, path = self.text.partition("/")
@@ -81,22 +100,22 @@ class RuleIndex:
         self.always: list = []
         self.by_token: dict[str, list] = {}
         for rule in rules:
-            entry = (rule, *rule.compiled())
             if rule.tokens:
                 rarest = min(rule.tokens, key=lambda t: (frequency.get(t, 0), -len(t), t))
-                self.by_token.setdefault(rarest, []).append(entry)
+                self.by_token.setdefault(rarest, []).append(rule)
             else:
-                self.always.append(entry)
+                self.always.append(rule)
 
-    def decide(self, host: str, path: str) -> tuple[Rule | None, Rule | None]:
-        """The longest fitting site rule, and the first fitting pattern if none fits."""
-        subject, best, blocked = host + path, None, None
+    def decide(self, host: str, path: str, best: Rule | None = None, blocked: Rule | None = None) -> tuple[Rule | None, Rule | None]:
+        """The longest fitting site rule, and the first fitting pattern if none fits; given what earlier blocks found."""
+        subject = host + path
         candidates = [*self.always]
         for token in dict.fromkeys([*TOKEN.findall(host), *TOKEN.findall(path)]):
             candidates += self.by_token.get(token, ())
-        for rule, first, second in candidates:
+        for rule in candidates:
+            first, second = rule.compiled()
             if rule.site:
-                if (best is None or len(rule.text) > len(best.text)) and first.match(host) and second.match(path):
+                if (best is None or rule.rank < best.rank) and first.match(host) and second.match(path):
                     best = rule
             elif (blocked is None or rule.text < blocked.text) and first.search(subject):
                 blocked = rule
@@ -113,26 +132,56 @@ def _tokens(batches: Iterator[pa.RecordBatch], wanted: frozenset[str]) -> Iterat
     yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["token", "n"])
 
 
-def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = SITES + PATTERNS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """page_id, host, path, rule (the deciding site rule), verdict, pattern (what else blocked it)."""
-    urls = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
+def _blocks(rules: tuple[Rule, ...] | DataFrame) -> Iterator[tuple[Rule, ...]]:
+    """The rules, at most BLOCK_BYTES of text (or one rule) at a time; at least one block."""
+    if not isinstance(rules, DataFrame):
+        yield tuple(rules)
+        return
+    block, held = [], 0
+    for r in rules.select("verdict", "text", F.col("site").cast("boolean").alias("site")).toLocalIterator():
+        if not r.text or r.site is None or r.verdict not in (("allow", "block") if r.site else ("block",)):
+            raise ValueError(f"not a rule: {r}")
+        size = len(r.text.encode())
+        if block and held + size > BLOCK_BYTES:
+            yield tuple(block)
+            block, held = [], 0
+        block.append(Rule(r.verdict, r.text, r.site))
+        held += size
+    yield tuple(block)
+
+
+def _judged(urls: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """urls (page_id, url and what earlier blocks found) after these rules."""
     wanted = frozenset(t for r in rules for t in r.tokens)
     # At most one row per literal token of the rules and task comes back, whatever the table's size.
     counted = urls.select("url").mapInArrow(lambda it: _tokens(it, wanted), "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
     frequency = {r["token"]: r["n"] for r in counted.collect()}
+    later = "pattern" in urls.columns
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = RuleIndex(rules, frequency)
         for b in batches:
             split = [split_url(u) for u in b.column("url").to_pylist()]
-            found = [index.decide(*x) for x in split]
+            if later:
+                before = zip(b.column("rule").to_pylist(), b.column("verdict").to_pylist(), b.column("pattern").to_pylist(), strict=True)
+                found = [index.decide(*x, site(v, r) if r is not None else None, pattern(p) if p is not None else None) for x, (r, v, p) in zip(split, before, strict=True)]
+            else:
+                found = [index.decide(*x) for x in split]
             text = lambda x: pa.array(x, pa.string())
             yield pa.RecordBatch.from_arrays(
-                [b.column("page_id"), text([h for h, _ in split]), text([p for _, p in split]), text([s.text if s else None for s, _ in found]), text([s.verdict if s else "block" if p else "allow" for s, p in found]), text([p.text if p else None for _, p in found])],
-                names=["page_id", "host", "path", "rule", "verdict", "pattern"],
+                [b.column("page_id"), b.column("url"), text([h for h, _ in split]), text([p for _, p in split]), text([s.text if s else None for s, _ in found]), text([s.verdict if s else "block" if p else "allow" for s, p in found]), text([p.text if p else None for _, p in found])],
+                names=["page_id", "url", "host", "path", "rule", "verdict", "pattern"],
             )
 
-    return urls.mapInArrow(judge, f"page_id {urls.schema['page_id'].dataType.simpleString()}, host string, path string, rule string, verdict string, pattern string")
+    return urls.mapInArrow(judge, f"page_id {urls.schema['page_id'].dataType.simpleString()}, url string, host string, path string, rule string, verdict string, pattern string")
+
+
+def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame = SITES + PATTERNS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """page_id, host, path, rule (the deciding site rule), verdict, pattern (what else blocked it)."""
+    urls = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
+    for i, block in enumerate(_blocks(rules)):
+        urls = _judged(materialise(urls, "urls") if i else urls, block)
+    return urls.drop("url")
 
 
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -311,6 +311,34 @@ def test_urls(spark):
     assert url_filter.filter_urls(frame(spark, [], "page_id long, url string")).count() == 0
 
 
+def test_url_rules_of_a_table(spark, monkeypatch):
+    """Rules of a table, in many blocks: ties, both verdicts for one text, patterns of a later block."""
+    rng = random.Random(4)
+    hosts = [f"{a}.{b}" for a in ("x", "b", "aa") for b in ("org", "net")]
+    rules = [(rng.choice(["allow", "block"]), f"{rng.choice(hosts + ['org', 'net'])}/{rng.choice(['', 'a', 'ab', 'abc'])}", True) for _ in range(60)]
+    rules += [("block", "b.org/ab", True), ("allow", "org/abcd", True), ("block", "aa.net/z", True), ("allow", "aa.net/z", True), ("block", "^zz^", False), ("block", "/y*q", False)]
+    urls = [f"http://{s}{h}/{p}" for s in ("", "s.") for h in [*hosts, "a.com"] for p in ("", "abcd", "ab/zz", "z", "y1q", "zz")] + [None, "x"]
+    table = spark.createDataFrame(rules, "verdict string, text string, site boolean")
+    pages = frame(spark, [(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    want = []
+    for i, u in enumerate(urls):
+        host, path = url_filter.split_url(u)
+        fits = [(-len(t), t, v != "block") for v, t, is_site in rules if is_site and (host == t.split("/")[0] or host.endswith("." + t.split("/")[0])) and path.startswith("/" + t.split("/")[1])]
+        patterns = [p for p, x in (("/y*q", "/y.*q"), ("^zz^", r"(^|\W)zz(\W|$)")) if re.search(x, host + path)]
+        rule, verdict, found = None, "block" if patterns else "allow", patterns[0] if patterns else None
+        if fits:
+            _, rule, allowed = min(fits)
+            verdict, found = "allow" if allowed else "block", None
+        want.append((i, host, path, rule, verdict, found))
+    for size in (1 << 20, 100):
+        monkeypatch.setattr(url_filter, "BLOCK_BYTES", size)
+        assert ordered(url_filter.filter_urls(pages, table).collect()) == ordered(want)
+    assert {w[5] for w in want} == {None, "/y*q", "^zz^"}
+    assert url_filter.filter_urls(pages, table.limit(0)).filter("verdict = 'allow'").count() == len(urls)
+    with pytest.raises(ValueError):
+        url_filter.filter_urls(pages, spark.createDataFrame([("allow", "^ads^", False)], table.schema))
+
+
 # 5
 
 def distance(pattern, text):
