@@ -103,29 +103,32 @@ def _emit(width: int, buckets: int):
     Rows with n = -1 hold what the slice itself knows to repeat: ids and tokens.
     """
 
+    def entries(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        ids = b.column(0).to_numpy().astype(np.int64)
+        doc, high, token = _marks(*utf8(b.column(1)), width)[1:4]
+        if not len(token):
+            return None
+        own, bucket = ids[doc], (high % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((own, token, bucket))
+        bucket, token, own = bucket[order], token[order], own[order]
+        new = np.ones(len(token), dtype=bool)
+        new[1:] = (token[1:] != token[:-1]) | (bucket[1:] != bucket[:-1])
+        again = own != own[new][np.cumsum(new) - 1]
+        out = []
+        if again.any():
+            out.append((int(spark_hash(ids[:1])[0]) % buckets, -1, 0, own[again].tobytes(), token[again].tobytes(), b""))
+        bucket, token, own = bucket[new], token[new], own[new]
+        base = int(own.min())
+        for p in np.split(np.arange(len(own)), np.flatnonzero(np.diff(bucket)) + 1):
+            keys = pack(np.diff(token[p] >> np.uint64(32), prepend=np.uint64(0)))
+            out.append((int(bucket[p[0]]), len(p), base, keys, (token[p] & _LOW).astype("<u4").tobytes(), pack((own[p] - base).view(np.uint64))))
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names=["bucket", "n", "base", "keys", "checks", "ids"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The arrays of a slice end with its call, before those of the next one are made.
         for batch in batches:
-            for b in slices(batch, "text", SLICE):
-                ids = b.column(0).to_numpy().astype(np.int64)
-                _, doc, high, token, *_ = _marks(*utf8(b.column(1)), width)
-                if not len(token):
-                    continue
-                own, bucket = ids[doc], (high % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((own, token, bucket))
-                bucket, token, own = bucket[order], token[order], own[order]
-                new = np.ones(len(token), dtype=bool)
-                new[1:] = (token[1:] != token[:-1]) | (bucket[1:] != bucket[:-1])
-                again = own != own[new][np.cumsum(new) - 1]
-                out = []
-                if again.any():
-                    out.append((int(spark_hash(ids[:1])[0]) % buckets, -1, 0, own[again].tobytes(), token[again].tobytes(), b""))
-                bucket, token, own = bucket[new], token[new], own[new]
-                base = int(own.min())
-                for p in np.split(np.arange(len(own)), np.flatnonzero(np.diff(bucket)) + 1):
-                    keys = pack(np.diff(token[p] >> np.uint64(32), prepend=np.uint64(0)))
-                    out.append((int(bucket[p[0]]), len(p), base, keys, (token[p] & _LOW).astype("<u4").tobytes(), pack((own[p] - base).view(np.uint64))))
-                types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names=["bucket", "n", "base", "keys", "checks", "ids"])
+            yield from (e for e in map(entries, slices(batch, "text", SLICE)) if e is not None)
 
     return run
 
@@ -135,6 +138,13 @@ def _tokens(keys: bytes, checks: bytes, n: int) -> np.ndarray:
     return (np.cumsum(unpack(keys, n), dtype=np.uint64) << np.uint64(32)) | np.frombuffer(checks, "<u4").astype(np.uint64)
 
 
+def _rows(table: pa.Table) -> Iterator[dict]:
+    """One row at a time, so that its blobs are not held beside what is made of them."""
+    for batch in table.to_batches():
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 OUT = "kind int, place int, n long, first binary, second binary"
 
 
@@ -142,11 +152,11 @@ def _merge(chunks: int, compact: bool, keep: bool):
     """One bucket: merge-join the batch's entries with the runs; replies (kind 0) and, to keep, the new run (kind 1)."""
 
     def run(entries: pa.Table, runs: pa.Table) -> pa.Table:
-        history = [_tokens(r["first"], r["second"], r["n"]) for r in runs.to_pylist()]
+        history = [_tokens(r["first"], r["second"], r["n"]) for r in _rows(runs)]
         replies: list[tuple[int, bytes, bytes]] = []
         tokens, ids = [], []
         bucket = None
-        for e in entries.to_pylist():
+        for e in _rows(entries):
             bucket = e["bucket"]
             if e["n"] < 0:
                 replies += _replies(np.frombuffer(e["keys"], np.int64), np.frombuffer(e["checks"], np.uint64), chunks)
@@ -156,6 +166,7 @@ def _merge(chunks: int, compact: bool, keep: bool):
         fresh = np.zeros(0, np.uint64)
         if tokens:
             token, own = np.concatenate(tokens), np.concatenate(ids)
+            tokens, ids = [], []
             order = np.lexsort((own, token))
             token, own = token[order], own[order]
             new = np.ones(len(token), dtype=bool)
@@ -242,30 +253,31 @@ def _cut(width: int):
         join = lambda name, kind: np.frombuffer(b"".join(x.as_py() for x in repeats.column(name)), kind)
         known = np.sort(mix(join("first", np.uint64) ^ mix(join("second", np.uint64))))
         schema = pa.schema([("row", docs.schema.field("row").type), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64())])
-        made: list[pa.RecordBatch] = []
-        for batch in docs.combine_chunks().to_batches():
-            for b in slices(batch, "text", SLICE):
-                column = b.column(b.schema.get_field_index("text"))
-                ids = b.column(b.schema.get_field_index("id")).to_numpy().astype(np.int64)
-                buf, offsets = utf8(column)
-                first, of, _, token, starts, _, doc = _marks(buf, offsets, width)
-                n_words = np.bincount(doc, minlength=len(ids))
-                covered = np.zeros(len(starts) + 1, dtype=np.int64)
-                if len(known) and len(first):
-                    probe = mix(ids[of].view(np.uint64) ^ mix(token))
-                    hit = first[known[np.minimum(np.searchsorted(known, probe), len(known) - 1)] == probe]
-                    np.add.at(covered, hit, 1)
-                    np.add.at(covered, hit + width, -1)
-                gone = np.cumsum(covered[:-1]) > 0
-                n_gone = np.bincount(doc[gone], minlength=len(ids))
-                begin = np.cumsum(n_words) - n_words
-                texts = []
-                for d in range(len(ids)):
-                    own = buf[offsets[d] : offsets[d + 1]].tobytes().split()
-                    if n_gone[d]:
-                        own = [w for w, g in zip(own, gone[begin[d] : begin[d] + n_words[d]].tolist(), strict=True) if not g]
-                    texts.append(b" ".join(own).decode())
-                made.append(pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("row")), pa.array(texts, pa.string()), pa.array(n_words.astype(np.int64)), pa.array(n_gone.astype(np.int64))], schema=schema))
+
+        def one(b: pa.RecordBatch) -> pa.RecordBatch:
+            column = b.column(b.schema.get_field_index("text"))
+            ids = b.column(b.schema.get_field_index("id")).to_numpy().astype(np.int64)
+            buf, offsets = utf8(column)
+            first, of, _, token, starts, _, doc = _marks(buf, offsets, width)
+            n_words = np.bincount(doc, minlength=len(ids))
+            covered = np.zeros(len(starts) + 1, dtype=np.int64)
+            if len(known) and len(first):
+                probe = mix(ids[of].view(np.uint64) ^ mix(token))
+                hit = first[known[np.minimum(np.searchsorted(known, probe), len(known) - 1)] == probe]
+                np.add.at(covered, hit, 1)
+                np.add.at(covered, hit + width, -1)
+            gone = np.cumsum(covered[:-1]) > 0
+            n_gone = np.bincount(doc[gone], minlength=len(ids))
+            begin = np.cumsum(n_words) - n_words
+            texts = []
+            for d in range(len(ids)):
+                own = buf[offsets[d] : offsets[d + 1]].tobytes().split()
+                if n_gone[d]:
+                    own = [w for w, g in zip(own, gone[begin[d] : begin[d] + n_words[d]].tolist(), strict=True) if not g]
+                texts.append(b" ".join(own).decode())
+            return pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("row")), pa.array(texts, pa.string()), pa.array(n_words.astype(np.int64)), pa.array(n_gone.astype(np.int64))], schema=schema)
+
+        made = [one(b) for batch in docs.combine_chunks().to_batches() for b in slices(batch, "text", SLICE)]
         return pa.Table.from_batches(made, schema)
 
     return run
