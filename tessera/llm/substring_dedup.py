@@ -44,6 +44,8 @@ NO_ID = -(2**63)
 BUCKET_BYTES = 16 << 20
 #: Bytes of text fingerprinted at a time; the arrays take about 40 times as much memory.
 SLICE = 3 << 20
+#: Bytes of text cut at a time; smaller than SLICE, as a chunk's texts are held beside the arrays.
+CUT = 1 << 20
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -277,7 +279,7 @@ def _cut(width: int):
                 texts.append(b" ".join(own).decode())
             return pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("row")), pa.array(texts, pa.string()), pa.array(n_words.astype(np.int64)), pa.array(n_gone.astype(np.int64))], schema=schema)
 
-        made = [one(b) for batch in docs.combine_chunks().to_batches() for b in slices(batch, "text", SLICE)]
+        made = [one(b) for batch in docs.to_batches() for b in slices(batch, "text", CUT)]
         return pa.Table.from_batches(made, schema)
 
     return run
