@@ -32,18 +32,24 @@ Its verified links already join most near copies into components.
 The second is exact.  "Holders" are now components instead of sets: a signature with an
 element of its own component alone cannot be shared with another one, so only what may still
 join two components is sent.  Members of a group that lie in several components are compared
-with one centre of the group, the member with most in common; all groups of one centre form
-its court.  What is then left to find are links between two components of a court, and
-comparing all with all is not needed for that.  The symmetric difference with the centre
-keeps distances: with D(x) = x ^ centre, two sets differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)|
-elements.  If |D(x)| + |D(y)| <= (a + b) / 7, both are linked to the centre already (each
-size exceeds the centre's by |D| at most, so neither |D| can exceed its own bound), so two
-components of a court can only be joined by sets whose differences have at least
+with one centre; all groups of one centre form its court.  A group's centre is its member in
+most groups, or twice in turn (HOPS) the best centre that a member has in any of its groups.
+Groups that overlap so come to share a centre: with each a centre of its own, every member
+of a family of sets that are alike, but not enough to link, would sit in courts that grow in
+number and in size with the family.
+
+What is then left to find are links between two components of a court, and comparing all
+with all is not needed for that.  The symmetric difference with the centre keeps distances:
+with D(x) = x ^ centre, two sets differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| elements.  If
+|D(x)| + |D(y)| <= (a + b) / 7, both are linked to the centre already (each size exceeds the
+centre's by |D| at most, so neither |D| can exceed its own bound), so two components of a
+court can only be joined by sets whose differences have at least
 t = (|D(x)| + |D(y)| - (a + b) / 7) / 2 > 0 elements in common.  Ordered by the number of
 members that hold them, the |D(x)| - t + 1 rarest elements of each difference suffice, and
-those that one component alone holds are counted but not sent.  Near copies of one text
-differ from it in elements that few others share, so what remains to be compared grows with
-the input, not with the square of a group.
+those that one component alone holds are counted but not sent.  At most (a + b) / 7 + 1 are
+sent for each member of a court.  Near copies of one text differ from it in elements that few
+others share; sets further from it lack the same parts of it, and the pairs of those that
+have to be verified can still grow with the square of such a family.
 
 Every candidate is verified on the whole sets.
 
@@ -73,6 +79,8 @@ SHINGLE = 5
 NUM, DEN = 3, 4
 #: Signatures of a set and band in the first pass.
 SKETCH = 6
+#: How often groups of the second pass take over a better centre of a group that they share a member with.
+HOPS = 2
 #: Bytes of text to a bucket of elements, and to a chunk of documents.
 BUCKET_BYTES, CHUNK_BYTES = 16 << 20, 4 << 20
 #: Rows without an id get one from here on, by their text; so such classes come after all others.
@@ -502,9 +510,14 @@ def _courts(member: DataFrame, found: DataFrame, sets: DataFrame, put) -> tuple[
     apart = lambda df, *more: df.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), *more).filter("low < high").drop("low", "high")
     now = put(_placed(member, found), "members")
     now = put(now.join(apart(now, F.min("size").alias("least")), "sig").filter(link("least")).drop("least"), "members")
-    lead = F.struct((F.lit(NUM + DEN) * F.col("common") - F.lit(2 * NUM) * F.col("size")).alias("slack"), "node")
-    pairs = now.join(apart(now, F.max(lead).alias("lead")), "sig").select(F.col("lead.node").alias("centre"), "node").distinct()
-    pairs = put(pairs, "pairs")
+    groups = now.join(apart(now), "sig").groupBy("node").agg(F.count(F.lit(1)).alias("groups"))
+    rank = F.struct("groups", (F.lit(NUM + DEN) * F.col("common") - F.lit(2 * NUM) * F.col("size")).alias("slack"), "node")
+    lead = put(apart(now.join(groups, "node"), F.max(rank).alias("lead")), "lead")
+    for _ in range(HOPS):
+        best = now.join(lead, "sig").groupBy("node").agg(F.max("lead").alias("best"))
+        # Summed up before the join with what it came from, so that a large group is not dealt to one task.
+        lead = put(now.join(best, "node").groupBy("sig").agg(F.max("best").alias("lead")).join(lead.select("sig"), "sig", "left_semi"), "lead")
+    pairs = put(now.join(lead, "sig").select(F.col("lead.node").alias("centre"), "node").distinct(), "pairs")
     x, y = (sets.select(F.col("b").alias(who), F.col("blob").alias(blob)) for who, blob in (("centre", "x"), ("node", "y")))
     court = put(pairs.join(y, "node").join(x, "centre").select("centre", "node", "x", "y").mapInArrow(_centred, COURT), "court")
     return court, court.filter("linked and centre <> node").select(F.least("centre", "node").alias("u"), F.greatest("centre", "node").alias("v"))

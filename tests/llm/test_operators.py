@@ -204,6 +204,32 @@ def test_pairs_compared_in_a_large_group_grow_with_it(spark, monkeypatch):
         assert sum(compared) <= 4 * n
 
 
+def test_courts_of_a_family_grow_with_it(spark, monkeypatch):
+    """Sets that are alike, most of them not enough to link: each is in a court or two, whatever the family's size."""
+    put, made = ngram_join._Tables.put, {}
+
+    def counted(self, df, name, partition_by=None):
+        out = put(self, df, name, partition_by)
+        if name in ("court", "tokens"):
+            made[name] = out.count(), out.select("node").distinct().count()
+        return out
+
+    monkeypatch.setattr(ngram_join._Tables, "put", counted)
+    prefixes = []
+    for n in (60, 240):
+        rng = random.Random(n)
+        base, rows = [f"b{i}" for i in range(250)], []
+        for i in range(n):
+            t = list(base)
+            for at in rng.sample(range(250), 8 if i % 6 else 3):
+                t[at] = f"{i}_{at}"
+            rows.append((i, " ".join(t)))
+        check_components(spark, rows)
+        assert 0 < made["court"][0] <= 2 * made["court"][1]
+        prefixes.append(made["tokens"][0])
+    assert 0 < prefixes[1] <= 8 * prefixes[0]
+
+
 def test_partenum_shares_a_signature(spark):
     """Two sets of one band that differ in at most k elements name a common signature, wherever the differences fall."""
     rng = np.random.default_rng(4)
