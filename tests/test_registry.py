@@ -34,6 +34,29 @@ def test_query(spark, connection, name):
     assert sorted(map(str, (tuple(r[i] for i in order) for r in got))) == sorted(map(str, want.fetchall()))
 
 
+def exchanged(plan):
+    """Bytes that went through a plan's exchanges."""
+    children, size = plan.children(), plan.metrics().get("dataSize")
+    return (size.get().value() if size.isDefined() else 0) + sum(exchanged(children.apply(i)) for i in range(children.size()))
+
+
+def test_sketches_are_not_kept_for_each_value(spark, tmp_path):
+    sizes, rows = {}, {}
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for n in (0, 100, 1100):
+            table = spark.range(n, numPartitions=1).selectExpr("nullif(id, 7) as o_custkey", "array('F', 'O', null)[id % 3] as o_orderstatus")
+            table.write.parquet(f"{tmp_path}/{n}/orders.parquet")
+            df = queries.QUERIES["stats_ndv_hll"](spark, f"{tmp_path}/{n}")
+            rows[n] = [tuple(r) for r in df.collect()]
+            sizes[n] = exchanged(df._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert set(map(tuple, rows.values())) == {((True, True),)}
+    assert 0 < sizes[1100] - sizes[100] < 1000 * 200, sizes
+
+
 def test_entry(spark):
     import __spark_entry__
 
